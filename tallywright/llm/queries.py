@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm import frames
 from tallywright.llm.language_id import language_id
+from tallywright.llm.licenses import license_scan
 from tallywright.llm.quality_rules import quality_rules
+from tallywright.llm.toxicity import toxicity
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +25,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(frames.table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
