@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm import frames
 from tallywright.llm.language_id import language_id
 from tallywright.llm.licenses import license_scan
+from tallywright.llm.packing import best_fit_packing
 from tallywright.llm.quality_rules import quality_rules
+from tallywright.llm.token_files import read_token_files, write_token_files
 from tallywright.llm.toxicity import toxicity
 
 
@@ -17,6 +20,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = frames.new_folder(spark, "tokens")
+    files = write_token_files(frames.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, 49_408)
+    return read_token_files(spark, files)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(frames.table(spark, sf_dir, "documents"))
 
@@ -25,14 +34,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(frames.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(frames.table(spark, sf_dir, "documents")).drop("spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
+    "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scan": op10_license_scan,
 }
 
