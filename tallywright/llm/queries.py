@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm import frames
+from tallywright.llm.jaccard_join import jaccard_components
 from tallywright.llm.language_id import language_id
 from tallywright.llm.licenses import license_scan
 from tallywright.llm.packing import best_fit_packing
@@ -16,6 +17,10 @@ from tallywright.llm.token_files import read_token_files, write_token_files
 from tallywright.llm.toxicity import toxicity
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(frames.table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
