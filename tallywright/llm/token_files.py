@@ -125,7 +125,7 @@ def range_bounds(df: DataFrame, key: str, shards: int) -> np.ndarray:
     """Approximate quantiles of a long column, ``shards - 1`` of them."""
     if shards <= 1:
         return np.zeros(0, np.int64)
-    got = df.where(F.col(key).isNotNull()).select(F.percentile_approx(key, [F.lit(i / shards) for i in range(1, shards)], F.lit(max(10_000, 4 * shards))).alias("q")).first()["q"]
+    got = df.where(F.col(key).isNotNull()).select(F.percentile_approx(key, [i / shards for i in range(1, shards)], max(10_000, 4 * shards)).alias("q")).first()["q"]
     return np.array(sorted(got or []), np.int64)
 
 
