@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm import frames
+from tallywright.llm.decontaminate import leaks
 from tallywright.llm.jaccard_join import jaccard_components
 from tallywright.llm.language_id import language_id
 from tallywright.llm.licenses import license_scan
@@ -15,6 +16,11 @@ from tallywright.llm.packing import best_fit_packing
 from tallywright.llm.quality_rules import quality_rules
 from tallywright.llm.token_files import read_token_files, write_token_files
 from tallywright.llm.toxicity import toxicity
+from tallywright.llm.warc import warc_round_trip
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(frames.table(spark, sf_dir, "pages"), frames.new_folder(spark, "warc")).drop("uri")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = frames.new_folder(spark, "tokens")
     files = write_token_files(frames.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, 49_408)
@@ -48,8 +58,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
@@ -57,4 +69,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS keeper FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM k""",
+}
