@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -49,6 +50,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files and checkpoints that nothing refers to any more.
+
+    The cleaner acts when the JVM collects its garbage, which an idle driver
+    puts off; large intermediate shuffles would stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, folder: str) -> DataFrame:
     """Write a table in the shared folder and read it again (column-prunable, unlike a checkpoint)."""
     df.write.mode("overwrite").parquet(folder)

@@ -56,6 +56,8 @@ LARGE_GROUP = 48
 #: Members of one R-tree; a larger group is dealt in blocks, a tree for each two blocks.
 TREE = 2048
 LEAF = 16
+#: Bits of the map of documents that a verification needs (1 MB).
+BITMAP = 1 << 23
 #: Distinct sets in one verification task, about.
 VERIFY_ROWS = 4000
 
@@ -355,32 +357,21 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, parallel: int) ->
     count = keyed.groupBy("low").agg((F.ceil(F.count("*") / F.lit(8 * VERIFY_ROWS))).cast("int").alias("k"))
     keyed = frames.checkpointed(keyed.join(count, "low").select("a", "b", F.xxhash64("low", F.pmod(F.xxhash64("a"), F.col("k"))).alias("task")))
     ends = keyed.select("task", F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.select("node").distinct().join(reps, "node")
-    ids = wanted.select("doc_id", F.col("node").alias("want"))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            want = b.column(1).to_pylist()
-            for first, sets in text_sets(b.column(0)):
-                node = [digest(s) for s in sets]
-                keep = [i for i, k in enumerate(node) if k == want[first + i]]
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["node", "data"])
-
-    sets = rows.select("text", "want").mapInArrow(sets_of, "node long, data binary")
-    left = ends.join(sets, "node").select("task", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "data")
-    every = left.unionByName(keyed.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("data")))
+    wanted = frames.checkpointed(ends.join(reps, "node").select("doc_id", "node", "task"))
+    rows = _likely(docs, wanted).join(wanted, "doc_id").select("task", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    every = rows.unionByName(keyed.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, sets = None, {}
         for b in batches:
             hit_a, hit_b = [], []
-            data = b.column(4)
+            own = [s for _, part in text_sets(b.column(4)) for s in part]
             for r, (t, kind, x, y) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)))):
                 if t != task:
                     task, sets = t, {}
                 if kind == 0:
-                    sets[x] = np.frombuffer(data[r].as_buffer(), "<u8")
+                    if digest(own[r]) == x:
+                        sets[x] = own[r]
                 else:
                     p, q = sets[x], sets[y]
                     both = np.intersect1d(p, q, assume_unique=True).size
@@ -392,6 +383,25 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, parallel: int) ->
     return every.repartition(parallel, "task").sortWithinPartitions("task", "kind", "a").mapInArrow(check, "a long, b long")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id passes a bitmap of the wanted ids (``BITMAP`` bits whatever their number).
+
+    Only saves shuffling texts that no pair needs; the join after it decides.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    words = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("v")).collect()
+    table = np.zeros(BITMAP // 64, np.uint64)
+    for r in words:
+        table[r["w"]] = r["v"] & (2**64 - 1)
+    bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+    def keep(b: pa.RecordBatch):
+        got = b.filter(pa.array(bits[b.column(2).to_numpy()]))
+        return got.select([0, 1]) if got.num_rows else None
+
+    return frames.map_arrow(docs.select("doc_id", "text", bit.alias("bit")), keep, "doc_id long, text string")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
@@ -403,6 +413,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1")).alias("p")).first()["p"] or 0
     buckets = max(1, math.ceil(total / BUCKET))
     shared = frames.checkpointed(shared_postings(postings(docs, hot, buckets), buckets))
+    frames.release(spark)
     n_shared = shared.count()
     parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_shared / 50_000))
     reps = sig.where("kind = 0 and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -425,9 +436,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         members = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         apart = members.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("h")
         members = frames.checkpointed(members.join(apart, "h", "left_semi"))
+        frames.release(spark)
     pairs = frames.checkpointed(rtree_pairs(members, points, parallel))
+    frames.release(spark)
     more = frames.checkpointed(verify(pairs, docs, reps, parallel))
     links = more if links is None else links.unionByName(more)
+    frames.release(spark)
     comp = connected_components(links)
     smallest = comp.join(reps, "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     placed = comp.join(smallest, "comp").select("node", "component_id")
