@@ -12,6 +12,7 @@ from tallywright.llm.decontaminate import leaks
 from tallywright.llm.jaccard_join import jaccard_components
 from tallywright.llm.language_id import language_id
 from tallywright.llm.licenses import license_scan
+from tallywright.llm.ngram_quality import ngram_quality
 from tallywright.llm.packing import best_fit_packing
 from tallywright.llm.quality_rules import quality_rules
 from tallywright.llm.token_files import read_token_files, write_token_files
@@ -19,6 +20,11 @@ from tallywright.llm.toxicity import toxicity
 from tallywright.llm.warc import warc_round_trip
 
 
+def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = frames.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return ngram_quality(frames.table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(frames.table(spark, sf_dir, "pages"), frames.new_folder(spark, "warc")).drop("uri")
 
@@ -58,6 +64,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_quality": op1_ngram_quality,
     "op2_warc": op2_warc,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
