@@ -11,20 +11,58 @@ at a piece's edge, NUL) goes through the library whole.
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tallywright.llm import textbatch as tb
+
 END_ID = 2
 #: Distinct pieces that a task remembers, at most; the memory is emptied when full.
-CACHE = 300_000
+CACHE = 1_200_000
 MARK = "\x00"
+#: Pieces whose edge white space (Unicode) may join with a neighbour's.
+ODD = r"^ [\t-\r\x1c-\x20\x{85}\p{Z}]|^[\t-\r\x1c-\x1f\x{85}]|^[^\P{Z} ]|^ $|[\t\x0b-\r\x1c-\x20\x{85}\p{Z}]$|[\t-\r\x1c-\x20\x{85}\p{Z}]\n$|^\n$"
 
 _loaded: dict[str, "Encoder"] = {}
 
 
+LETTER = tb.byte_class((65, 90), (97, 122))
+PUNCT = tb.byte_class((33, 47), (58, 64), (91, 96), (123, 126))
+SOLID = tb.byte_class((33, 126))
+
+
+def marked(arr: pa.Array) -> pa.Array:
+    """The texts with MARK at places that no token spans.
+
+    Those are: before a space; between a letter (ASCII or Latin-1) and ASCII
+    punctuation; between a line feed after visible ASCII and an ASCII letter.
+    """
+    n = len(arr)
+    _, offbuf, data = arr.buffers()
+    offs = np.frombuffer(offbuf, np.int64)[arr.offset : arr.offset + n + 1]
+    buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
+    offs = offs - offs[0]
+    cut = buf == 32
+    if len(buf) > 2:
+        letter = LETTER[buf]
+        latin = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+        before = letter.copy()
+        before[1:] |= latin
+        cut[1:] |= before[:-1] & PUNCT[buf[1:]]
+        cut[2:] |= SOLID[buf[:-2]] & (buf[1:-1] == 10) & letter[2:]
+    at = np.flatnonzero(cut)
+    at = at[~np.isin(at, offs)] if len(at) and n > 1 else at[at > 0] if len(at) else at
+    new = np.insert(buf, at, 0)
+    moved = offs + np.searchsorted(at, offs, "left")
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(moved.astype(np.int64)), pa.py_buffer(new))
+
+
 class Encoder:
+    """A tokenizer with a flat store of the ids of pieces it has seen."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -32,68 +70,61 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.drops_space = self.tok.normalizer is not None
-        self.known: dict[str, np.ndarray] = {}
+        self._empty()
 
-    def pieces_ids(self, pieces: list[str]) -> list[np.ndarray]:
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def _places(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and number of ids of each piece in the store, and the store."""
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
+            self._empty()
+        known, flat, ends = self.known, self.flat, self.ends
+        new = [p for p in pieces if p not in known]
         for a in range(0, len(new), 5000):
             part = new[a : a + 5000]
             for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, np.uint32)
-        return [self.known[p] for p in pieces]
+                known[p] = len(ends) - 1
+                flat.extend(e.ids)
+                ends.append(len(flat))
+        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.array(ends, np.int64)
+        return ends[at], ends[at + 1] - ends[at], np.append(np.array(flat, np.uint32), np.uint32(END_ID))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), each text's end id included, and their bounds (n+1)."""
         arr = texts.fill_null("").cast(pa.large_string())
         n = len(arr)
-        if self.drops_space:
-            lists = pc.ascii_split_whitespace(arr)
-        else:
-            lists = pc.split_pattern(pc.replace_substring(arr, " ", MARK + " "), MARK)
-        flat = lists.flatten()
+        lists = pc.split_pattern(marked(arr), MARK)
         bounds = np.asarray(lists.offsets, np.int64)
         bounds = bounds - bounds[0]
-        enc = flat.dictionary_encode()
-        codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = enc.dictionary.to_pylist()
+        enc = lists.flatten().dictionary_encode()
+        del lists
+        codes = enc.indices.to_numpy(zero_copy_only=False)
         alone: dict[int, np.ndarray] = {}
+        whole = np.asarray(pc.match_substring(arr, MARK))
         if not self.drops_space:
-            odd = np.array([self._odd(p) for p in distinct], bool)
-            bad = odd[codes]
-            cum = np.zeros(len(bad) + 1, np.int64)
-            np.cumsum(bad, out=cum[1:])
-            whole = np.flatnonzero((cum[bounds[1:]] > cum[bounds[:-1]]) | np.asarray(pc.match_substring(arr, MARK)))
-            for k in whole.tolist():
-                alone[k] = np.array(self.tok.encode(arr[k].as_py(), add_special_tokens=False).ids, np.uint32)
-        ids = self.pieces_ids(distinct)
-        sizes = np.array([len(i) for i in ids], np.int64)
-        table = np.concatenate([*ids, np.array([END_ID], np.uint32)])
-        first = np.zeros(len(sizes) + 1, np.int64)
-        np.cumsum(sizes, out=first[1:])
-        piece_n = np.append(sizes, 1)[np.insert(codes, bounds[1:], len(sizes))]
-        piece_at = first[np.insert(codes, bounds[1:], len(sizes))]
+            odd = np.asarray(pc.match_substring_regex(enc.dictionary, ODD))
+            if odd.any():
+                whole = whole | (np.add.reduceat(np.append(odd[codes], False), bounds[:-1]) > 0)
+        for k in np.flatnonzero(whole).tolist():
+            alone[k] = np.array(self.tok.encode(arr[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        first, size, store = self._places(enc.dictionary.to_pylist())
+        codes = np.insert(codes, bounds[1:], len(size))
+        first, size = np.append(first, len(store) - 1)[codes], np.append(size, 1)[codes]
         ends = bounds[1:] + np.arange(1, n + 1)
-        if alone:
-            keep = np.ones(len(piece_n), bool)
-            for k in alone:
-                keep[bounds[k] + k : ends[k] - 1] = False
-            piece_n = np.where(keep, piece_n, 0)
-        out_at = np.zeros(len(piece_n) + 1, np.int64)
-        np.cumsum(piece_n, out=out_at[1:])
-        out = table[np.repeat(piece_at - out_at[:-1], piece_n) + np.arange(out_at[-1])]
-        offs = np.concatenate([[0], out_at[ends]])
+        for k in alone:
+            size[bounds[k] + k : ends[k] - 1] = 0
+        at = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=at[1:])
+        out = store[np.repeat(first - at[:-1], size) + np.arange(at[-1])]
+        offs = np.concatenate([[0], at[ends]])
         if alone:
             parts = [out[offs[k] : offs[k + 1]] if k not in alone else np.append(alone[k], np.uint32(END_ID)) for k in range(n)]
             out = np.concatenate(parts)
             offs = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return out.astype(np.uint32), offs.astype(np.int64)
-
-    @staticmethod
-    def _odd(piece: str) -> bool:
-        body = piece[1:] if piece[:1] == " " else piece
-        return not body and piece == " " or body[:1].isspace() or body[-1:].isspace()
+        return out, offs.astype(np.int64)
 
 
 def encoder(path: str) -> Encoder:
@@ -103,7 +134,7 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def slices(column: pa.Array, size: int = 4 << 20):
+def slices(column: pa.Array, size: int = 6 << 20):
     """(first row, sub-array) pieces of about ``size`` bytes of text."""
     lengths = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
     cum = np.cumsum(lengths)
