@@ -15,8 +15,44 @@ CATALOG = "tally"
 OWNED_BY_CALLERS = "datasets"
 NAMESPACES = ("audit", "datasets", "drift", "gateway", "logs", "metrics", "storage", "system", "traces", "verification")
 
+PRIMITIVES = {"string": T.StringType(), "bigint": T.LongType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "variant": T.VariantType()}
+
+
+def ddl(text: str) -> T.StructType:
+    """A schema from ``name type [NOT NULL], ...``, without a session."""
+    return T.StructType([_column(c) for c in _split(text)])
+
+
+def _split(text: str) -> list[str]:
+    out, depth, cur = [], 0, ""
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(cur.strip())
+            cur = ""
+        else:
+            cur += c
+    return [*out, cur.strip()]
+
+
+def _column(text: str) -> T.StructField:
+    name, kind = text.split(None, 1)
+    required = kind.upper().endswith(" NOT NULL")
+    return T.StructField(name, _type(kind[: -len(" NOT NULL")] if required else kind), not required)
+
+
+def _type(text: str) -> T.DataType:
+    text = text.strip()
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        pairs = (c.split(":", 1) for c in _split(text[7:-1]))
+        return T.StructType([T.StructField(n.strip(), _type(k)) for n, k in pairs])
+    return PRIMITIVES[text]
+
+
 #: Columns that the server stamps, in order, after the table's own.
-MANAGED = T.StructType.fromDDL("workload_card_uid string, subject_card_uid string, run_id string, sub_principal_id string NOT NULL, act_principal_id string NOT NULL, request_id string NOT NULL, ingested_at timestamp NOT NULL")
+MANAGED = ddl("workload_card_uid string, subject_card_uid string, run_id string, sub_principal_id string NOT NULL, act_principal_id string NOT NULL, request_id string NOT NULL, ingested_at timestamp NOT NULL")
 RESERVED_PREFIX = "tally_"
 SHARED = "service_name string, service_version string, deployment_environment string, subject_kind string, subject_name string, subject_version string"
 
@@ -130,8 +166,8 @@ PROMOTED = "service_namespace string, service_instance_id string, process_pid bi
 EXCEPTION = "exception_type string, exception_message string, exception_stacktrace string"
 
 
-def _table(namespace: str, name: str, ddl: str, time: str, part: str = "day", sensitive: tuple[str, ...] = (), shared: bool = True) -> Table:
-    schema = T.StructType.fromDDL(ddl + (", " + SHARED if shared else ""))
+def _table(namespace: str, name: str, columns: str, time: str, part: str = "day", sensitive: tuple[str, ...] = (), shared: bool = True) -> Table:
+    schema = ddl(columns + (", " + SHARED if shared else ""))
     return Table(namespace, name, schema, Layout(time, part), sensitive, built_in=True)
 
 

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.plans import dialect, gate
-from tallywright.sources.schema import BUILT_IN, CATALOG, NAMESPACES, OWNED_BY_CALLERS, SchemaError, Table, alter, check_columns, check_name, fingerprint, stamp
+from tallywright.sources.schema import BUILT_IN, CATALOG, NAMESPACES, OWNED_BY_CALLERS, SchemaError, Table, alter, check_columns, check_name, ddl, fingerprint, stamp
 
-MANIFEST = T.StructType.fromDDL("batch_id string, path string, rows bigint, min_us bigint, max_us bigint, partitions array<string>, replaces array<string>")
+MANIFEST = ddl("batch_id string, path string, rows bigint, min_us bigint, max_us bigint, partitions array<string>, replaces array<string>")
 MAX_PARTITIONS = 32
 MAX_NESTING = 8
 SMALL_FILES = 2
@@ -163,7 +163,7 @@ class Warehouse:
     def _read(self, paths: list[str], schema: T.StructType, parts: bool = False) -> DataFrame:
         full = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields] + ([T.StructField("_part", T.StringType())] if parts else []))
         read = self.spark.read.schema(full)
-        frames = [read.option("basePath", p).parquet(p) for p in paths]
+        frames = [read.option("basePath", p).parquet(p).select(*full.names) for p in paths]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
