@@ -133,8 +133,8 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT p_partkey, lower(hex(encode(p_name))) AS h, decode(unhex(hex(encode(p_name)))) = p_name AS same FROM part",
     ),
     "date_parts": (
-        "SELECT o_orderkey, date_part('year', o_orderdate) AS y, date_part('month', o_orderdate) AS m, date_part('hour', o_orderdate) AS h, date_format(o_orderdate, 'HH:mm') AS hm, unix_micros(CAST(o_orderdate AS TIMESTAMP)) AS us, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders",
-        "SELECT o_orderkey, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, CAST(date_part('month', o_orderdate) AS INTEGER) AS m, CAST(date_part('hour', o_orderdate) AS INTEGER) AS h, strftime(o_orderdate, '%H:%M') AS hm, epoch_us(o_orderdate) AS us, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders",
+        "SELECT o_orderkey, date_part('year', o_orderdate) AS y, date_part('month', o_orderdate) AS m, date_part('hour', o_orderdate) AS h, date_format(o_orderdate, 'HH:mm') AS hm, unix_micros(CAST(o_orderdate AS TIMESTAMP)) AS us, date_format(o_orderdate, 'yyyy-MM') AS month FROM orders",
+        "SELECT o_orderkey, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, CAST(date_part('month', o_orderdate) AS INTEGER) AS m, CAST(date_part('hour', o_orderdate) AS INTEGER) AS h, strftime(o_orderdate, '%H:%M') AS hm, epoch_us(o_orderdate) AS us, strftime(o_orderdate, '%Y-%m') AS month FROM orders",
     ),
     "math_funcs": (
         "SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS f, ceil(l_extendedprice) AS c, abs(l_tax - l_discount) AS a, round(sqrt(l_extendedprice), 9) AS s, round(ln(l_extendedprice), 9) AS l, round(power(l_quantity, 2), 6) AS p, l_orderkey div 7 AS d, l_orderkey % 7 AS m, sign(l_tax - l_discount) AS g FROM lineitem",
@@ -182,10 +182,16 @@ def _windows() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]
     def orders(s, d):
         return load(s, d, "orders")
 
-    by_cust = W.partitionBy("o_custkey").orderBy(F.col("o_orderdate").asc_nulls_first(), "o_orderkey")
+    def by_cust():
+        return W.partitionBy("o_custkey").orderBy(F.col("o_orderdate").asc_nulls_first(), "o_orderkey")
+
+    def full():
+        return W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+    def price():
+        return W.partitionBy("o_orderpriority").orderBy(F.col("o_totalprice").desc_nulls_last())
+
     sql = "PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey"
-    full = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    price = W.partitionBy("o_orderpriority").orderBy(F.col("o_totalprice").desc_nulls_last())
 
     def topk(s, d):
         """The 20 users with the largest summed value, every bin of theirs, and how many users there are."""
@@ -196,13 +202,13 @@ def _windows() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]
         return ev.join(F.broadcast(best.select("user_id")), "user_id").crossJoin(F.broadcast(groups)).select("user_id", "day", F.col("v").cast("double").alias("v"), "groups")
 
     return {
-        "rank": (lambda s, d: orders(s, d).select("o_orderkey", F.rank().over(price).cast("long").alias("r")), "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC NULLS LAST) AS r FROM orders"),
+        "rank": (lambda s, d: orders(s, d).select("o_orderkey", F.rank().over(price()).cast("long").alias("r")), "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC NULLS LAST) AS r FROM orders"),
         "dense_rank": (lambda s, d: orders(s, d).select("o_orderkey", F.dense_rank().over(W.partitionBy("o_custkey").orderBy(F.desc_nulls_last("o_orderpriority"), F.asc_nulls_last("o_orderstatus"))).cast("long").alias("r")), "SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC NULLS LAST, o_orderstatus ASC NULLS LAST) AS r FROM orders"),
-        "lag_delta": (lambda s, d: orders(s, d).select("o_orderkey", F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(by_cust), 4).alias("delta")), f"SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER ({sql}), 4) AS delta FROM orders"),
-        "running_sum": (lambda s, d: orders(s, d).select("o_orderkey", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(by_cust.rowsBetween(W.unboundedPreceding, 0)).cast("double").alias("run")), f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER ({sql} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS run FROM orders"),
-        "last_value_full": (lambda s, d: orders(s, d).select("o_orderkey", F.last_value("o_totalprice").over(full).alias("last"), F.first_value("o_orderkey").over(full).alias("first")), "SELECT o_orderkey, last_value(o_totalprice) OVER w AS last, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
-        "window_functions": (lambda s, d: orders(s, d).select("o_orderkey", F.row_number().over(by_cust).cast("long").alias("rn"), F.lead("o_orderkey").over(by_cust).alias("nxt"), F.round(F.percent_rank().over(by_cust), 9).alias("pr"), F.round(F.cume_dist().over(by_cust), 9).alias("cd"), F.nth_value("o_orderkey", 2).over(full).alias("second")), f"SELECT o_orderkey, row_number() OVER ({sql}) AS rn, lead(o_orderkey) OVER ({sql}) AS nxt, round(percent_rank() OVER ({sql}), 9) AS pr, round(cume_dist() OVER ({sql}), 9) AS cd, nth_value(o_orderkey, 2) OVER ({sql} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders"),
-        "ntile_rows": (lambda s, d: orders(s, d).select("o_orderkey", F.ntile(3).over(by_cust).cast("long").alias("t")), f"SELECT o_orderkey, ntile(3) OVER ({sql}) AS t FROM orders"),
+        "lag_delta": (lambda s, d: orders(s, d).select("o_orderkey", F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(by_cust()), 4).alias("delta")), f"SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER ({sql}), 4) AS delta FROM orders"),
+        "running_sum": (lambda s, d: orders(s, d).select("o_orderkey", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(by_cust().rowsBetween(W.unboundedPreceding, 0)).cast("double").alias("run")), f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER ({sql} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS run FROM orders"),
+        "last_value_full": (lambda s, d: orders(s, d).select("o_orderkey", F.last_value("o_totalprice").over(full()).alias("last"), F.first_value("o_orderkey").over(full()).alias("first")), "SELECT o_orderkey, last_value(o_totalprice) OVER w AS last, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+        "window_functions": (lambda s, d: orders(s, d).select("o_orderkey", F.row_number().over(by_cust()).cast("long").alias("rn"), F.lead("o_orderkey").over(by_cust()).alias("nxt"), F.round(F.percent_rank().over(by_cust()), 9).alias("pr"), F.round(F.cume_dist().over(by_cust()), 9).alias("cd"), F.nth_value("o_orderkey", 2).over(full()).alias("second")), f"SELECT o_orderkey, row_number() OVER ({sql}) AS rn, lead(o_orderkey) OVER ({sql}) AS nxt, round(percent_rank() OVER ({sql}), 9) AS pr, round(cume_dist() OVER ({sql}), 9) AS cd, nth_value(o_orderkey, 2) OVER ({sql} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders"),
+        "ntile_rows": (lambda s, d: orders(s, d).select("o_orderkey", F.ntile(3).over(by_cust()).cast("long").alias("t")), f"SELECT o_orderkey, ntile(3) OVER ({sql}) AS t FROM orders"),
         "partition_stats": (lambda s, d: orders(s, d).select("o_orderkey", F.count("*").over(W.partitionBy("o_custkey")).alias("n"), F.max("o_totalprice").over(W.partitionBy("o_custkey")).alias("top")), "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM orders"),
         "range_frame": (lambda s, d: orders(s, d).select("o_orderkey", F.count("*").over(W.partitionBy("o_orderpriority").orderBy("o_custkey").rangeBetween(-5, 5)).alias("near")), "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM orders"),
         "topk_groups": (topk, "WITH e AS (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS day, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY 1, 2), t AS (SELECT user_id, sum(v) AS m FROM e GROUP BY 1), b AS (SELECT user_id FROM t ORDER BY m DESC NULLS LAST, user_id LIMIT 20) SELECT user_id, day, CAST(v AS DOUBLE) AS v, (SELECT count(*) FROM t) AS groups FROM e WHERE user_id IN (SELECT user_id FROM b)"),

@@ -52,6 +52,6 @@ def test_llm_is_optional():
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['tallywright.llm'] = None\nimport __spark_entry__ as e\nassert not [k for k in e.queries() if k.startswith('op')] and len(e.queries()) > 90 - 10"
+    code = "import sys; sys.modules['tallywright.llm'] = None\nimport __spark_entry__ as e\nassert not [k for k in e.queries() if k.startswith('op')] and len(e.queries()) > 90"
     r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
-    assert "ModuleNotFoundError" in r.stderr or r.returncode == 0
+    assert r.returncode == 0, r.stderr
