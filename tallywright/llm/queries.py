@@ -85,4 +85,13 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> keeper THEN keeper END AS refers_to
         FROM k""",
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM p),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM e JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+        r(doc_id, z) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.z FROM r JOIN (SELECT x AS a, y AS z FROM l UNION ALL SELECT y, x FROM l) b ON b.a = r.z)
+        SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(z) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
 }
