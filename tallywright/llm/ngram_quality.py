@@ -23,10 +23,10 @@ an empty result; other columns are ignored whatever their names.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +44,27 @@ SHARD = 500_000
 PAD = "\x02"
 SCHEMA = "doc_id long, lang string, trusted boolean, n_grams long, perplexity double"
 LOW = {i: i + 32 for i in range(65, 91)}
-WHITE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def squeezed(text: str) -> str:
+    """The text with ASCII white space runs as one space, none at the ends."""
+    for c in "\n\t\r\x0b\x0c":
+        if c in text:
+            text = text.replace(c, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip(" ")
 
 
 class Grams:
-    """The grams of a list of texts: hashes by place, bounds of texts, and a string for each distinct hash."""
+    """The grams of a list of texts: distinct hashes (in no order), their index by place, bounds of texts, a place of each."""
 
     def __init__(self, texts: list[str | None], order: int):
-        clean = [WHITE.sub(" ", t.translate(LOW)).strip(" ") if t else "" for t in texts]
+        clean = [squeezed(t) if t else "" for t in texts]
         clean = [PAD * (order - 1) + t if t else "" for t in clean]
         every = "".join(clean)
         code = np.frombuffer(every.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        code[(code >= 65) & (code <= 90)] += tb.U64(32)
         size = np.array([len(t) for t in clean], np.int64)
         base = np.concatenate([[0], np.cumsum(size)])
         count = np.maximum(size - order + 1, 0)
@@ -64,16 +74,13 @@ class Grams:
         for j in range(order):
             h = h * tb.U64(tb.BASE) + code[first + j] + tb.U64(1) if len(first) else h
         h = tb.mix(h)
-        self.distinct, self.place, self.inverse, self.count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        self.place = first[self.place]
+        self.inverse, self.distinct = pd.factorize(h)
+        self.place = np.zeros(len(self.distinct), np.int64)
+        self.place[self.inverse] = first
         self.every, self.order = every, order
 
     def strings(self, which: np.ndarray) -> list[str]:
-        return [self.every[a : a + self.order] for a in self.place[which].tolist()]
-
-
-def gram_hash(gram: str) -> int:
-    return int(Grams([gram], len(gram)).distinct[-1]) if gram else 0
+        return [self.every[a : a + self.order].translate(LOW) for a in self.place[which].tolist()]
 
 
 def _blocks(docs: DataFrame, trusted: DataFrame, folder: str) -> list[str]:

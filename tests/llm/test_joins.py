@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -155,7 +156,7 @@ def test_decontamination(spark):
 
 def brute_kn(train, order):
     def grams(t):
-        t = ngram_quality.WHITE.sub(" ", t.translate(helpers.LOW)).strip(" ")
+        t = re.sub(r"[\x20\x09-\x0D]+", " ", t.translate(helpers.LOW)).strip(" ")
         t = "\x02" * (order - 1) + t if t else ""
         return [t[k : k + order] for k in range(len(t) - order + 1)]
 
