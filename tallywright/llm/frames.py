@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -66,10 +69,24 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass batches on; at the task's end give freed memory back, as a reused worker would keep it."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch that returns a batch, several or none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(each(batches))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = fn(b)
             if out is None:
@@ -82,6 +99,37 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     return df.mapInArrow(run, schema)
 
 
+def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a function of a partition's batches."""
+    return df.mapInArrow(lambda batches: tidy(fn(batches)), schema)
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A boolean array of ``bits`` places, true where some value's hash falls; the same size whatever the rows."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = df.select(place.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v")).collect()
+    table = np.zeros(bits // 64, np.uint64)
+    for r in words:
+        table[r["w"]] = r["v"] & (2**64 - 1)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+
+def split_by_bitmap(df: DataFrame, column: str, found: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a value of the bitmap, rows that have none), all columns; two passes, no shuffle."""
+    packed = np.packbits(found)
+    names, schema = df.columns, df.schema
+
+    def part(want: bool) -> DataFrame:
+        def keep(b: pa.RecordBatch):
+            place = b.column(b.num_columns - 1).to_numpy()
+            got = b.filter(pa.array(((packed[place >> 3] >> (7 - (place & 7))) & 1).astype(bool) == want))
+            return got.select(range(len(names))) if got.num_rows else None
+
+        return map_arrow(df.withColumn("_place", F.pmod(F.xxhash64(column), F.lit(len(found)))), keep, schema)
+
+    return part(True), part(False)
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a Spark path, and the path within it."""
     if "://" in path or path.startswith("file:"):

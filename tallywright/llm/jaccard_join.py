@@ -131,7 +131,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             u, c = u[c > 1], c[c > 1]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)), pa.array(c), pa.nulls(len(u), pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, node long, n long, point binary")
+    return frames.map_partitions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "kind int, doc_id long, node long, n long, point binary")
 
 
 POSTING = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -171,7 +171,7 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             ids = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([every[cut[i] : cut[i + 1]].tobytes() for i in ids], pa.binary())], ["bucket", "data"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, data binary")
+    return frames.map_partitions(docs.select("text"), run, "bucket int, data binary")
 
 
 def shared_postings(packed: DataFrame, buckets: int) -> DataFrame:
@@ -193,7 +193,7 @@ def shared_postings(packed: DataFrame, buckets: int) -> DataFrame:
             q = p[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(q["h"]).view(np.int64)), pa.array(size[a : a + 50_000]), pa.array(q["node"].astype(np.int64)), pa.array(q["n"].astype(np.int64)), pa.array(q["pos"].astype(np.int64))], ["h", "size", "node", "n", "pos"])
 
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "h long, size long, node long, n long, pos long")
+    return frames.map_partitions(packed.repartitionById(buckets, F.col("bucket")), run, "h long, size long, node long, n long, pos long")
 
 
 # --- the tree --------------------------------------------------------------
@@ -338,7 +338,7 @@ def rtree_pairs(members: DataFrame, points: DataFrame, parallel: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[a : a + 50_000, 0])), pa.array(np.ascontiguousarray(p[a : a + 50_000, 1]))], ["a", "b"])
 
     dealt = m.repartition(parallel, "key").select("key", "node", "n", "pos", "comp", "side", "cross", "point")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return frames.map_partitions(dealt, run, "a long, b long").distinct()
 
 
 # --- verification ----------------------------------------------------------
@@ -380,7 +380,7 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, parallel: int) ->
                         hit_b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(hit_a, pa.int64()), pa.array(hit_b, pa.int64())], ["a", "b"])
 
-    return every.repartition(parallel, "task").sortWithinPartitions("task", "kind", "a").mapInArrow(check, "a long, b long")
+    return frames.map_partitions(every.repartition(parallel, "task").sortWithinPartitions("task", "kind", "a"), check, "a long, b long")
 
 
 def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -388,18 +388,7 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Only saves shuffling texts that no pair needs; the join after it decides.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    words = wanted.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("v")).collect()
-    table = np.zeros(BITMAP // 64, np.uint64)
-    for r in words:
-        table[r["w"]] = r["v"] & (2**64 - 1)
-    bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-    def keep(b: pa.RecordBatch):
-        got = b.filter(pa.array(bits[b.column(2).to_numpy()]))
-        return got.select([0, 1]) if got.num_rows else None
-
-    return frames.map_arrow(docs.select("doc_id", "text", bit.alias("bit")), keep, "doc_id long, text string")
+    return frames.split_by_bitmap(docs, "doc_id", frames.bitmap(wanted, "doc_id", BITMAP))[0]
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -199,7 +199,8 @@ def _answers(requests: DataFrame, table: DataFrame, shards: int) -> DataFrame:
                 data = [ready[1][np.searchsorted(ready[0], np.frombuffer(x.as_buffer(), np.uint64))].tobytes() for x in part.column(5)]
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), part.column(5), pa.array(data, pa.binary())], ["block", "shard", "data", "logp"])
 
-    return every.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "block").mapInArrow(run, "block int, shard int, data binary, logp binary")
+    dealt = every.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "block")
+    return frames.map_partitions(dealt, run, "block int, shard int, data binary, logp binary")
 
 
 def _hash_rows(b: pa.RecordBatch) -> pa.RecordBatch:

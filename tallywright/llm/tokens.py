@@ -21,7 +21,7 @@ from tallywright.llm import textbatch as tb
 
 END_ID = 2
 #: Distinct pieces that a task remembers, at most; the memory is emptied when full.
-CACHE = 1_200_000
+CACHE = 500_000
 MARK = "\x00"
 #: Pieces whose edge white space (Unicode) may join with a neighbour's.
 ODD = r"^ [\t-\r\x1c-\x20\x{85}\p{Z}]|^[\t-\r\x1c-\x1f\x{85}]|^[^\P{Z} ]|^ $|[\t\x0b-\r\x1c-\x20\x{85}\p{Z}]$|[\t-\r\x1c-\x20\x{85}\p{Z}]\n$|^\n$"
