@@ -39,11 +39,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     dropped = frames.checkpointed(jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    left = docs.join(dropped, "doc_id", "left_anti")
-    again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = left.join(again, "doc_id", "left_semi")
-    first = repeated.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("n_chars", "lang", "source"))).where("_r = 1").drop("_r")
-    return left.join(again, "doc_id", "left_anti").unionByName(first).select(*COLUMNS)
+    again = frames.checkpointed(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    # texts are shuffled only for rows that may be dropped or repeated
+    some, rest = frames.split_by_bitmap(docs, "doc_id", frames.bitmap(dropped.unionByName(again), "doc_id", jaccard_join.BITMAP))
+    w = Window.partitionBy("doc_id", F.xxhash64("text"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy("n_chars", "lang", "source")
+    first = some.join(dropped, "doc_id", "left_anti").withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return rest.unionByName(first.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
