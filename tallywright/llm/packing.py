@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, extra: tup
     """The token pieces of every row; ``extra`` columns pass through to each piece."""
 
     def run(b: pa.RecordBatch):
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, added=True)
         for first, part in tokens.slices(b.column(1)):
             ids, offs = enc.encode(part)
             raw = ids.astype("<u4")

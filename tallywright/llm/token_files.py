@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, vocabulary:
     bounds = range_bounds(src, "doc_id", shards)
 
     def tokenise(b: pa.RecordBatch):
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, added=True)
         for first, part in tokens.slices(b.column(1)):
             ids, offs = enc.encode(part)
             doc = b.column(0).slice(first, len(part))

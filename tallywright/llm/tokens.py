@@ -6,6 +6,11 @@ between two non-space characters.  Texts are cut there, every distinct piece
 of an Arrow batch goes through the library once, and the ids are gathered by
 numpy.  A text whose pieces could interact (runs of spaces, other white space
 at a piece's edge, NUL) goes through the library whole.
+
+The operators take the library as it is: the content of an added token
+(``<|endoftext|>``) inside a text is that token's one id, and such a text goes
+through the library whole.  ``encoder(path)`` without ``added`` splits it into
+ordinary pieces instead.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ MARK = "\x00"
 #: Pieces whose edge white space (Unicode) may join with a neighbour's.
 ODD = r"^ [\t-\r\x1c-\x20\x{85}\p{Z}]|^[\t-\r\x1c-\x1f\x{85}]|^[^\P{Z} ]|^ $|[\t\x0b-\r\x1c-\x20\x{85}\p{Z}]$|[\t-\r\x1c-\x20\x{85}\p{Z}]\n$|^\n$"
 
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[tuple[str, bool], "Encoder"] = {}
 
 
 LETTER = tb.byte_class((65, 90), (97, 122))
@@ -63,12 +68,13 @@ def marked(arr: pa.Array) -> pa.Array:
 class Encoder:
     """A tokenizer with a flat store of the ids of pieces it has seen."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added else []
         self.drops_space = self.tok.normalizer is not None
         self._empty()
 
@@ -104,6 +110,8 @@ class Encoder:
         codes = enc.indices.to_numpy(zero_copy_only=False)
         alone: dict[int, np.ndarray] = {}
         whole = np.asarray(pc.match_substring(arr, MARK))
+        for content in self.added:
+            whole = whole | np.asarray(pc.match_substring(arr, content))
         if not self.drops_space:
             odd = np.asarray(pc.match_substring_regex(enc.dictionary, ODD))
             if odd.any():
@@ -127,11 +135,11 @@ class Encoder:
         return out, offs.astype(np.int64)
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a tokenizer file, loaded once in each worker."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    """The encoder of a tokenizer file, loaded once in each worker; with ``added``, added tokens in texts count."""
+    if (path, added) not in _loaded:
+        _loaded[path, added] = Encoder(path, added)
+    return _loaded[path, added]
 
 
 def slices(column: pa.Array, size: int = 6 << 20):
