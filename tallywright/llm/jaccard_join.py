@@ -358,7 +358,10 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, parallel: int) ->
     keyed = frames.checkpointed(keyed.join(count, "low").select("a", "b", F.xxhash64("low", F.pmod(F.xxhash64("a"), F.col("k"))).alias("task")))
     ends = keyed.select("task", F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = frames.checkpointed(ends.join(reps, "node").select("doc_id", "node", "task"))
-    rows = _likely(docs, wanted).join(wanted, "doc_id").select("task", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    named = wanted.where("doc_id is not null")
+    rows = _likely(docs, named).join(named, "doc_id").select("task", "node", "text")
+    rows = rows.unionByName(_unnamed(docs, wanted.where("doc_id is null")))
+    rows = rows.select("task", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     every = rows.unionByName(keyed.select("task", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,6 +394,18 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return frames.split_by_bitmap(docs, "doc_id", frames.bitmap(wanted, "doc_id", BITMAP))[0]
 
 
+def _unnamed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """task, node and a text of wanted nodes that only rows with a null doc_id have, found by the set digest."""
+
+    def run(b: pa.RecordBatch):
+        for first, sets in text_sets(b.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), b.column(0).slice(first, len(sets))], ["node", "text"])
+
+    held = frames.map_arrow(docs.where("doc_id is null").select("text"), run, "node long, text string")
+    texts = held.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return texts.join(wanted, "node").select("task", "node", "text")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
