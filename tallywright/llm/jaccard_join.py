@@ -46,6 +46,8 @@ from tallywright.llm.components import connected_components
 SHINGLE = 5
 NUM, DEN = 75, 100
 DIMS = 64
+#: A group's count that is this high or higher is kept as this and bounds nothing.
+FULL = 65535
 #: Frequent shingles that go last in the order, at most (8 bytes each in every task).
 HOT_SHINGLES = 200_000
 HOT_COUNT = 16
@@ -86,7 +88,7 @@ def digest(shingles: np.ndarray) -> int:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % DIMS, minlength=DIMS), 65535).astype("<u2")
+    return np.minimum(np.bincount((shingles >> np.uint64(40)).astype(np.int64) % DIMS, minlength=DIMS), FULL).astype("<u2")
 
 
 class Distinct:
@@ -197,6 +199,11 @@ def shared_postings(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 # --- the tree --------------------------------------------------------------
+def unbounded(pts: np.ndarray) -> np.ndarray:
+    """Points with counts that were cut at ``FULL`` above every overlap, so that summed minima stay upper bounds."""
+    return np.where(pts == FULL, np.uint32(2**32 - 1), pts) if (pts == FULL).any() else pts
+
+
 def entry_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray, pos: np.ndarray, pts: np.ndarray) -> np.ndarray:
     """Which of the index pairs can link: sizes, position of the shared shingle, summed minima."""
     need = needed(n[x] + n[y])
@@ -272,6 +279,7 @@ def group_pairs(start: np.ndarray, n: np.ndarray, pos: np.ndarray, pts: np.ndarr
     A group of at most ``LEAF`` members is one leaf; those are compared entry
     by entry, all groups at once.
     """
+    pts = unbounded(pts)
 
     def screened(x: np.ndarray, y: np.ndarray, crossing) -> tuple[np.ndarray, np.ndarray]:
         ok = comp[x] != comp[y]

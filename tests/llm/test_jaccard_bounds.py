@@ -21,3 +21,18 @@ def test_near_copies_without_an_id(spark):
     assert [c for i, _, c in got.elements() if i is None].count(5) == 2
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
     assert Counter((x.doc_id, x.text) for x in kept) == Counter(rows)
+
+
+def test_sets_with_cut_group_counts_still_pair():
+    """A link of 4.9 million shingles needs an overlap above DIMS * 65535: two members are compared entry by entry, 40 in a tree."""
+    size = 4_900_000
+    full = jaccard_join.point(np.repeat(np.arange(jaccard_join.DIMS, dtype=np.uint64) << np.uint64(40), size // jaccard_join.DIMS + 1))
+    for members in (2, 40):
+        n = np.full(members, size)
+        pts = np.stack([full] * members)
+        k = np.arange(members)
+        zero = np.zeros(members, np.int64)
+        found = set()
+        for x, y in jaccard_join.group_pairs(np.array([0, members]), n, zero, pts, k, zero, np.array([False])):
+            found |= {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+        assert found == {(a, b) for a in range(members) for b in range(a + 1, members)}
