@@ -37,14 +37,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    dropped = frames.checkpointed(jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    again = frames.checkpointed(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    # a key for each row: ids may repeat
+    docs = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    comps = jaccard_join.jaccard_components(docs.select(F.col("_row").alias("doc_id"), "text"))
+    placed = comps.select(F.col("doc_id").alias("_row"), "component_id").join(docs.select("_row", "doc_id", "n_chars", "lang", "source"), "_row").where("doc_id is not null")
+    placed = frames.checkpointed(placed.select("_row", "component_id", "doc_id", "n_chars", "lang", "source"))
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "n_chars", "lang", "source", "_row")).alias("k")).select("k._row")
+    dropped = frames.checkpointed(placed.select("_row").join(kept, "_row", "left_anti"))
+    repeated = placed.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = frames.checkpointed(placed.join(repeated, "doc_id", "left_semi").select("_row"))
     # texts are shuffled only for rows that may be dropped or repeated
-    some, rest = frames.split_by_bitmap(docs, "doc_id", frames.bitmap(dropped.unionByName(again), "doc_id", jaccard_join.BITMAP))
-    w = Window.partitionBy("doc_id", F.xxhash64("text"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy("n_chars", "lang", "source")
-    first = some.join(dropped, "doc_id", "left_anti").withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return rest.unionByName(first.select(*COLUMNS))
+    some, rest = frames.split_by_bitmap(docs, "_row", frames.bitmap(dropped.unionByName(again), "_row", jaccard_join.BITMAP))
+    # rows without words link with nothing, their exact repeats go here
+    w = Window.partitionBy("doc_id", F.xxhash64("text"), F.when(F.col("doc_id").isNull(), F.col("_row"))).orderBy("n_chars", "lang", "source")
+    first = some.join(dropped, "_row", "left_anti").withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return rest.select(*COLUMNS).unionByName(first.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,14 @@ def test_sets_with_cut_group_counts_still_pair():
         for x, y in jaccard_join.group_pairs(np.array([0, members]), n, zero, pts, k, zero, np.array([False])):
             found |= {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
         assert found == {(a, b) for a in range(members) for b in range(a + 1, members)}
+
+
+def test_repeated_ids_are_dropped_by_row(spark):
+    """Id 7 has a near copy of id 1 and a clean text, id 3 two near copies of one text; empty rows repeat."""
+    r = random.Random(4)
+    texts = [helpers.words(20 + k, 120, 3000) for k in range(3)]
+    one, clean, two = (" ".join(t) for t in texts)
+    rows = [(1, one), (7, near(texts[0], r, 1)), (7, clean), (3, two), (3, near(texts[2], r, 1)), (8, ""), (8, ""), (8, None)]
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.near_duplicate_stage(spark, helpers.documents(spark, rows).repartition(3), "").collect())
+    assert got[1, one] == got[7, clean] == got[8, ""] == got[8, None] == 1
+    assert sum(n for (i, _), n in got.items() if i == 3) == 1 and sum(got.values()) == 5
