@@ -10,13 +10,16 @@ the cluster and grows with the corpus.
 Documents ask in *blocks*: a block's distinct grams go, packed, to the shards
 of the probability table and the answers come back to the block, which sums
 them over each whole text.  A document is kept if its perplexity is at most
-its language's threshold, a quantile of the trusted rows' perplexities.
+its language's threshold, a quantile of the trusted rows' perplexities.  Those
+are taken held out: trusted rows are dealt in ``FOLDS`` by a hash of doc_id, and
+each fold is scored under the model of the others, as new documents are.
 
 Defined results: null and empty texts (and white space alone) have perplexity
 null and are not kept; a null lang is a language of its own; a language with
 fewer than ``LEAST_TRUSTED`` trusted rows uses the threshold over all trusted
 rows; without trusted rows everything with a perplexity is kept; a null
-doc_id is never trusted; repeated rows are each scored; an empty table gives
+doc_id is never trusted; if a fold has no text, trusted rows are scored under
+the model of all of them; repeated rows are each scored; an empty table gives
 an empty result; other columns are ignored whatever their names.
 """
 
@@ -35,9 +38,9 @@ from pyspark.sql import functions as F
 from tallywright.llm import frames, textbatch as tb
 
 ORDER = 4
-#: Quantile of trusted perplexities that a language's threshold rests on, and the slack above it.
+#: A language's threshold: this quantile of its trusted rows' held-out perplexities.
 QUANTILE = 0.98
-SLACK = 1.5
+FOLDS = 2
 LEAST_TRUSTED = 30
 #: Grams in one shard of the probability table, about.
 SHARD = 500_000
@@ -272,13 +275,29 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     return out
 
 
-def ngram_quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def held_out_perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame | None:
+    """Perplexity of every trusted row under the model of the other folds; None if some fold has no text."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    ids = frames.checkpointed(ids.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")))
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(ids.select("doc_id"), "doc_id", "left_semi")
+    out = None
+    for k in range(FOLDS):
+        scored = perplexities(mine, ids.where(F.col("fold") != k), order)
+        held = scored.where("not trusted and perplexity is not null")
+        if not held.limit(1).count():
+            return None
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
+def ngram_quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_grams, perplexity, threshold, kept of every row; ``trusted`` holds doc_ids."""
     scored = perplexities(docs, trusted, order)
-    good = scored.where("trusted and perplexity is not null")
+    held = held_out_perplexities(docs, trusted, order)
+    good = scored.where("trusted and perplexity is not null") if held is None else held
     q = F.percentile_approx("perplexity", quantile, 10_000)
-    every = good.agg((q * slack).alias("t")).first()["t"]
-    own = {r["lang"]: r["t"] for r in good.groupBy("lang").agg((q * slack).alias("t"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED).collect()}
+    every = good.agg(q.alias("t")).first()["t"]
+    own = {r["lang"]: r["t"] for r in good.groupBy("lang").agg(q.alias("t"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED).collect()}
     limits = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in own.items()], "l string, own double")
     joined = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left")
     limit = F.coalesce("own", F.lit(every).cast("double"), F.lit(float("inf")))
