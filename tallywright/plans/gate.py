@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -18,7 +18,14 @@ from tallywright.plans import dialect
 
 STATEMENT_BYTES = 64 << 10
 PREDICATE_BYTES = 8 << 10
-WRITES = {"insert", "update", "delete", "merge", "create", "drop", "alter", "truncate", "copy", "set", "use", "grant", "revoke", "call", "refresh", "cache", "analyze"}
+#: Plan nodes of a query; a statement with any other node is refused.
+QUERY_NODES = set(
+    "Project Filter Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit Offset Join LateralJoin SubqueryAlias UnresolvedRelation UnresolvedWith Union Intersect Except Distinct "
+    "UnresolvedInlineTable LocalRelation OneRowRelation Generate UnresolvedSubqueryColumnAliases WithWindowDefinition Pivot Unpivot Sample UnresolvedTableValuedFunction".split()
+)
+#: Table functions that only use their arguments, and scalar ones that reach outside the query.
+TABLE_FUNCTIONS = {"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "range", "variant_explode", "variant_explode_outer"}
+FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length"}
 
 
 class Refused(ValueError):
@@ -31,8 +38,13 @@ class Statement:
     tables: tuple[str, ...]
 
 
-def check_statement(sql: str) -> Statement:
-    """One SELECT within the byte limit; returns it with the tables it names."""
+def check_statement(sql: str, spark: SparkSession | None = None) -> Statement:
+    """One query within the byte limit; returns it with every table that its parsed plan reads.
+
+    Spark's own parser reads the statement once, for this check and for its
+    tables: whatever is no query, and any relation but a named table (or a
+    common table expression in scope), is refused.
+    """
     if not sql.strip():
         raise Refused("the statement is empty")
     if len(sql.encode()) > STATEMENT_BYTES:
@@ -42,20 +54,39 @@ def check_statement(sql: str) -> Statement:
         toks.pop()
     if any(t == ("op", ";") for t in toks):
         raise Refused("exactly one statement is allowed")
-    first = next((t[1].lower() for t in toks if t[1] != "("), "")
-    if first in WRITES or first not in ("select", "with", "values"):
+    for (kind, x), after in zip(toks, [*toks[1:], ("", "")]):
+        if kind in ("name", "quoted") and after[1] == "(" and x.strip('"`').lower() in FORBIDDEN_FUNCTIONS:
+            raise Refused(f"{x} is not allowed")
+    spark = spark or SparkSession.active()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(dialect.rewrite(sql).rstrip("; \n"))
+    except Exception as e:
+        raise Refused(str(e).strip().splitlines()[0]) from e
+    return Statement(sql, tuple(dict.fromkeys(_relations(plan, frozenset()))))
+
+
+def _relations(plan, ctes: frozenset[str]) -> Iterator[str]:
+    """Full names of the tables that a parsed plan reads, subqueries included; refuses what is no query."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in QUERY_NODES:
         raise Refused("only SELECT is allowed")
-    ctes = {toks[i][1].lower() for i in range(len(toks) - 2) if toks[i][0] == "name" and toks[i + 1][1].lower() == "as" and toks[i + 2][1] == "("}
-    tables, i = [], 0
-    while i < len(toks) - 1:
-        if toks[i][0] == "name" and toks[i][1].lower() in ("from", "join") and toks[i + 1][0] in ("name", "quoted"):
-            k, full = i + 1, toks[i + 1][1].strip('"`')
-            while k + 2 < len(toks) and toks[k + 1][1] == ".":
-                full, k = f"{full}.{toks[k + 2][1].strip('`')}", k + 2
-            if full.lower() not in ctes:
-                tables.append(full)
-        i += 1
-    return Statement(sql, tuple(dict.fromkeys(tables)))
+    if kind == "UnresolvedRelation":
+        parts = _seq(plan.multipartIdentifier())
+        if len(parts) > 1 or parts[0].lower() not in ctes:
+            yield ".".join(parts)
+    elif kind == "UnresolvedTableValuedFunction" and [x.lower() for x in _seq(plan.name())][-1] not in TABLE_FUNCTIONS:
+        raise Refused("no such table function")
+    elif kind == "UnresolvedWith":
+        for t in _seq(plan.cteRelations()):
+            own = {t._1().lower()} if plan.allowRecursion() else set()
+            yield from _relations(t._2(), ctes | own)
+            ctes = ctes | {t._1().lower()}
+    for part in (*_seq(plan.children()), *_seq(plan.subqueries())):
+        yield from _relations(part, ctes)
+
+
+def _seq(scala) -> list:
+    return [scala.apply(i) for i in range(scala.length())]
 
 
 def check_predicate(spark: SparkSession, schema: T.StructType, text: str) -> str:

@@ -69,7 +69,7 @@ def test_both_spellings_of_a_table_name(spark):
         assert dialect.query(spark, f"SELECT count(*) FROM {name}", names={"tally.datasets.t": "v3"}).first()[0] == 3
 
 
-def test_statement_gate():
+def test_statement_gate(spark):
     assert gate.check_statement("WITH a AS (SELECT 1 FROM x.y) SELECT * FROM a JOIN \"p.q\" ON true;").tables == ("x.y", "p.q")
     for bad in ("", "  ", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "DROP TABLE t", "DELETE FROM t", "EXPLAIN SELECT 1", "SELECT '" + "x" * 70_000 + "'"):
         with pytest.raises(gate.Refused):
@@ -107,7 +107,7 @@ def test_result_limits_and_terminal(spark):
     assert gate.clamp_deadline(None) == gate.clamp_deadline(0) == 7200 and gate.clamp_deadline(5) == 5 and gate.clamp_deadline(1e9) == 7200
 
 
-def test_authorization():
+def test_authorization(spark):
     s = gate.check_statement("SELECT * FROM a.b")
     gate.authorize(gate.Caller("t"), s, {"a.b": 1})
     for caller, known in ((gate.Caller("t", frozenset()), {"a.b": 1}), (gate.Caller("t"), {})):

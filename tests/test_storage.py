@@ -38,11 +38,95 @@ def test_write_read_and_idempotence(spark, store):
     us = lambda h: int(dt.datetime(2026, 1, 1, h, tzinfo=dt.timezone.utc).timestamp() * 1e6)
     part = w.scan(t, us(2), us(3))
     assert part.count() == 3 and len({f.rsplit("/data/", 1)[1].split("/")[0] for f in part.inputFiles()}) == 1
-    assert w.compact(t) and len(w.manifest(t)) == 1 and w.scan(t).count() == 8 and w.compact(t) is None
+    assert w.compact(t) == [] and len(w.compact(t, kind="full")) == 1 and len(w.manifest(t)) == 1 and w.scan(t).count() == 8
+    assert w.write(t, rows(spark, range(5)), "b1") and w.scan(t).count() == 8
     w.insert(t, [{"id": 9, "at": dt.datetime(2026, 1, 1, 5)}], "b3")
     assert w.scan(t).where("id = 9").first()["v"] is None
 
 
+def test_time_bounds_reach_the_files(spark, store):
+    w, t = store
+    w.write(t, rows(spark, range(5)))
+    us = int(dt.datetime(2026, 1, 1, 1, 2, tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    part = w.scan(t, us, us + 60_000_000)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(at," in plan and "LessThan(at," in plan and [r.id for r in part.collect()] == [2]
+
+
+def test_an_acknowledged_batch_survives(spark, store, tmp_path, monkeypatch):
+    w, t = store
+    w.acknowledge(t, rows(spark, range(4)), "a/1 %")
+    wide = spark.range(40).select("id", F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, cast(id as int))").alias("at"))
+    with pytest.raises(schema.SchemaError, match="partitions"):
+        w.write(t, wide, "wide")
+    assert w.scan(t).count() == 4 and w.staged(t) == ["a/1 %"]
+    commit = w._commit
+    monkeypatch.setattr(w, "_commit", lambda *a: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError):
+        w.publish(t)
+    assert w.scan(t).count() == 4
+    monkeypatch.setattr(w, "_commit", commit)
+    other = warehouse.Warehouse(spark, str(tmp_path), "acme")
+    other.register("events", T.StructType.fromDDL(DDL), time_column="at", partition_by="hour", sort_keys=("at",), bloom_columns=("id",))
+    pinned = other.pin(t)
+    assert other.scan(t, pinned=pinned).count() == 4 and other.publish(t) == 1 and other.publish(t) == 0
+    assert [r["batch_id"] for r in other.manifest(t)] == ["a/1 %"] and w.scan(t).count() == 4
+
+
+def test_compaction_expiry_and_inventory(spark, store):
+    w, t = store
+    for k, hour in enumerate((1, 1, 2, 3)):
+        w.write(t, rows(spark, range(10 * k, 10 * k + 3), hour), f"b{k}")
+    new = w.compact(t, kind="small-files")
+    assert len(new) == 1 and {r["batch_id"] for r in w.manifest(t)} == {*new, "b2", "b3"} and w.scan(t).count() == 12
+    assert w.expire(t, 0) == 0 and w.expire(t, 2**62) == 2 and w.scan(t).count() == 12
+    assert w.rewrite_manifest(t) == 5 and len(w.manifest(t)) == 3 and w.scan(t).count() == 12
+    inventory = w.file_list(t).collect()
+    assert sum(r.rows for r in inventory) == 12 and all(r.bytes > 0 and r.files > 0 and r.min_us <= r.max_us for r in inventory)
+    assert w.compact(t, kind="full") and len(w.manifest(t)) == 1 and w.scan(t).count() == 12
+    with pytest.raises(schema.SchemaError):
+        w.compact(t, kind="odd")
+
+
+def test_outcomes(spark, store, monkeypatch):
+    w, t = store
+    w.write(t, rows(spark, range(3)))
+    w.acknowledge(t, rows(spark, [7]))
+    got, end = w.collect("SELECT count(*) AS n FROM tally.datasets.events")
+    assert got["n"].to_pylist() == [4] and end.outcome == "success" and not end.warnings
+    listing = w.staged
+    monkeypatch.setattr(w, "staged", lambda table: (_ for _ in ()).throw(OSError("gone")))
+    got, end = w.collect("SELECT count(*) AS n FROM tally.datasets.events")
+    assert got["n"].to_pylist() == [3] and end.outcome == "degraded" and len(end.warnings) == 1
+    monkeypatch.setattr(w, "staged", listing)
+    df = w.sql("SELECT id FROM tally.datasets.events")
+    w._delete(f"{w._dir(t)}/data")
+    got, end = gate.Running(spark).collect(df)
+    assert got is None and end.outcome == "failed"
+
+
+def test_statements_reach_only_own_tables(spark, store, tmp_path):
+    w, t = store
+    w.register("other", T.StructType.fromDDL("id long, at timestamp"), time_column="at")
+    foreign = str(tmp_path / "foreign")
+    spark.range(5).write.parquet(foreign)
+    spark.sql("CREATE TABLE IF NOT EXISTS gate_target (id BIGINT) USING parquet")
+    own = "tally.datasets.events"
+    for bad in (f"WITH t AS (SELECT 1 AS id) INSERT INTO gate_target SELECT id FROM t", f"EXPLAIN SELECT 1 FROM {own}", f"SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM {own}", f"SELECT * FROM IDENTIFIER('{own}')", f"SELECT * FROM read_files('/x')", "SHOW TABLES", f"FROM {own} INSERT INTO gate_target SELECT id"):
+        with pytest.raises(gate.Refused):
+            w.sql(bad)
+    for bad in (f"SELECT o.id FROM {own} e, parquet.`{foreign}` o", f"WITH x AS (TABLE parquet.`{foreign}`) SELECT * FROM x", f"SELECT (SELECT max(id) FROM parquet.`{foreign}`) FROM {own}", f"SELECT * FROM {own} WHERE id IN (SELECT id FROM gate_target)", "WITH gate_target AS (SELECT 1 AS id), b AS (SELECT 1) SELECT * FROM spark_catalog.default.gate_target", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a"):
+        with pytest.raises(PermissionError):
+            w.sql(bad)
+    assert spark.table("gate_target").count() == 0
+    w.write(t, rows(spark, range(4)))
+    w.write(w.tables["tally.datasets.other"], spark.createDataFrame([(2, dt.datetime(2026, 1, 1))], "id long, at timestamp"))
+    assert w.sql(f"SELECT e.id FROM {own} e, tally.datasets.other o WHERE e.id = o.id").first()[0] == 2
+    assert w.sql(f"SELECT tally.datasets.events.id FROM {own}, \"tally.datasets.other\" o WHERE tally.datasets.events.id = o.id").first()[0] == 2
+    assert w.sql(f"WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT count(*) FROM r, (TABLE {own}) x").first()[0] == 12
+    spark.sql("DROP TABLE gate_target")
+
+
 def test_refusals(spark, store):
     w, t = store
     with pytest.raises(schema.SchemaError, match="undeclared"):
