@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywright.session import load
+from tallywright.session import checkpointed, load
 
 CODECS = {"none": "uncompressed", "snappy": "snappy", "gzip": "gzip", "zstd": "zstd", "lz4": "lz4"}
 
@@ -50,9 +50,17 @@ def open_dataset(spark: SparkSession, path: str, interface: str, schema=None) ->
 
 
 def stats(df: DataFrame) -> DataFrame:
-    """Rows, columns, and an order-free digest of the rows."""
+    """Rows, columns, bytes of the rows as compact JSON, and a SHA-256 of them that ignores their order.
+
+    Every row's SHA-256 is a number; the digest is the SHA-256 of the sum of
+    these numbers modulo 2^256 (kept as eight sums of 32-bit words) and the
+    row count, so equal rows do not cancel out.
+    """
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
-    return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"), F.sum(F.octet_length(row)).alias("bytes"), F.hex(F.bit_xor(F.xxhash64(row))).alias("digest"))
+    hashed = df.select(F.octet_length(row).cast("long").alias("b"), F.sha2(row, 256).alias("h"))
+    words = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in range(8)]
+    n = F.count("*")
+    return hashed.agg(n.alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.sha2(F.concat_ws(" ", n.cast("string"), *words), 256).alias("digest"))
 
 
 # --- splits ----------------------------------------------------------------
@@ -66,11 +74,11 @@ def split_by_column(df: DataFrame, column: str, op: str, value) -> DataFrame:
 def with_index(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """A 0-based row index in the given total order.
 
-    Rows are range-partitioned, counted per partition, and numbered within it,
-    so no single task sees all rows.
+    Rows are range-partitioned once, kept in the shared folder, counted per
+    range, and numbered within it, so no single task sees all rows.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    ranged = checkpointed(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     local = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
     return ranged.withColumn("_r", local).join(F.broadcast(counts), "_p").withColumn("index", F.col("_base") + F.col("_r")).drop("_p", "_r", "_base")
@@ -126,8 +134,7 @@ def split_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "benchmark")
-    return stats(d).select("rows", F.col("columns").cast("long").alias("columns"))
+    return stats(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
 
 
 def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE_SQL: dict[str, str] = {
     "split_indices": "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i >= 100 AND i < 250",
     "split_column": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P')",
-    "dataset_stats": "SELECT count(*) AS rows, CAST(2 AS BIGINT) AS columns FROM benchmark",
+    "dataset_stats": "WITH j AS (SELECT '{\"doc_id\":' || doc_id || ',\"lang\":' || coalesce(to_json(lang)::VARCHAR, 'null') || ',\"source\":' || coalesce(to_json(source)::VARCHAR, 'null') || ',\"n_chars\":' || coalesce(n_chars::VARCHAR, 'null') || '}' AS r FROM documents), h AS (SELECT octet_length(encode(r)) AS b, sha256(r) AS h FROM j) SELECT count(*) AS rows, (SELECT count(*) FROM (DESCRIBE SELECT doc_id, lang, source, n_chars FROM documents)) AS columns, CAST(sum(b) AS BIGINT) AS bytes, sha256(concat_ws(' ', count(*), "
+    + ", ".join(f"sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT))" for k in range(8))
+    + ")) AS digest FROM h",
     "extract_documents": "SELECT CAST(page_id AS VARCHAR) || '.html' AS path, 'ok' AS status, 'html' AS format, length(html) AS chars FROM pages",
 }

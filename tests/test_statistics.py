@@ -28,6 +28,27 @@ def test_edges(spark):
     assert drift.edges_from_json(drift.edge_json(e)) == e and drift.edges_from_json("null") is None
 
 
+def test_windows_that_cannot_be_judged(spark):
+    base, edges = column(spark, range(200)), [-INF, 50, 100, INF]
+    cases = {"no_drift": range(200), "drift": [5] * 200}
+    for verdict, values in cases.items():
+        assert drift.psi_report(base, column(spark, values), "v", edges, 0.25).first()["verdict"] == verdict
+    for values, missing in (([], 0), (range(99), 0), ([*range(150), *[None] * 75], 75), ([*range(150), math.nan, INF], 2)):
+        r = drift.psi_report(base, column(spark, values), "v", edges, 0.25).first()
+        assert (r["verdict"], r["psi"], r["missing"]) == ("inconclusive", None, missing)
+    assert drift.psi_counts(*(spark.createDataFrame([], "bin int, n long"),) * 2).first()[:] == (0, 0, None)
+    assert drift.judge_window(base, column(spark, range(200)), "v", edges, 0.25)[0] == "passed"
+    assert drift.judge_window(base, column(spark, [5] * 200), "v", edges, 0.25)[0] == "failed"
+    assert drift.judge_window(base, column(spark, []), "v", edges, 0.25) == ("inconclusive", "0 samples, 100 are needed")
+    assert drift.judge_window(None, base, "v", None, 0.25)[0] == "inconclusive"
+    for bins in (0, -1):
+        with pytest.raises(drift.DriftError):
+            drift.edges_equal_width(base, "v", bins)
+    assert drift.edges_equal_width(column(spark, [0.1, 0.1 + 1e-17, 0.1 + 2e-17]), "v", 3) == [-INF, INF]
+    with pytest.raises(Exception, match="not finite"):
+        drift.project_features(column(spark, [1, INF]).select("v", F.lit(1).alias("i"), F.current_timestamp().alias("t")), "i", [], ["v"], "t").collect()
+
+
 def test_bins_are_open_below(spark):
     df = column(spark, [-5, 10, 15, 20, 30, 30.0001, -INF, math.nan, None])
     assert [r[0] for r in df.select(drift.bin_of(F.col("v"), [-INF, 10, 20, 30, INF])).collect()] == [0, 0, 1, 1, 2, 3, 3, 3, 3]
@@ -52,18 +73,26 @@ def test_control_charts(spark):
         assert drift.c4(n) == pytest.approx(want, abs=5e-5)
     g = drift.subgroups(column(spark, [1, 2, 3, 4, 3, 4, 5, 6, 9]).withColumn("i", F.monotonically_increasing_id()), "v", 4, ("i",)).orderBy("subgroup").collect()
     assert [r["mean"] for r in g] == [2.5, 4.5] and g[0]["sd"] == pytest.approx(math.sqrt(5 / 3))
-    x, s = drift.fit_x_bar_s(3.5, math.sqrt(5 / 3), 4)
+    x, s = drift.control_limits(3.5, math.sqrt(5 / 3), 4, 20)
     assert x.center == 3.5 and x.upper - 3.5 == pytest.approx(3 * math.sqrt(5 / 3) / (0.9213177 * 2), rel=1e-6)
     assert not x.signals(x.upper) and x.signals(x.upper + 1e-9) and s.lower == 0
     with pytest.raises(drift.DriftError):
-        drift.fit_x_bar_s(1, 1, 1)
+        drift.control_limits(1, 1, 1, 20)
+    with pytest.raises(drift.DriftError, match="20 subgroups"):
+        drift.control_limits(1, 1, 4, 19)
+    whole = drift.subgroups(spark.range(100).select(F.col("id").alias("v")), "v", 30, ("v",)).orderBy("subgroup").collect()
+    assert [r["mean"] for r in whole] == [14.5, 44.5, 74.5]
 
 
 def test_custom_and_roll_up(spark):
-    assert drift.score_custom(column(spark, [100, 102, 98, 101]), "v", 100, 5) == ("no_drift", 0.25)
-    assert drift.score_custom(column(spark, [200, 210, 220]), "v", 100, 50) == ("drift", 110)
-    assert drift.score_custom(column(spark, [105]), "v", 100, 5)[0] == "no_drift"
-    assert drift.score_custom(column(spark, [1, None]), "v", 1, 5)[0] == drift.score_custom(column(spark, []), "v", 1, 5)[0] == "inconclusive"
+    def custom(values, *limits):
+        r = drift.score_custom(column(spark, values), "v", *limits).first()
+        return r["verdict"], r["gap"]
+
+    assert custom([100, 102, 98, 101], 100, 5) == ("no_drift", 0.25)
+    assert custom([200, 210, 220], 100, 50) == ("drift", 110)
+    assert custom([105], 100, 5)[0] == "no_drift"
+    assert custom([1, None], 1, 5)[0] == custom([], 1, 5)[0] == "inconclusive"
     assert drift.roll_up(["no_drift", "drift", "inconclusive"]) == "failed" and drift.roll_up([]) == "inconclusive" and drift.roll_up(["no_drift"]) == "passed"
     assert drift.complete(column(spark, [1, 2]), ["v"]) and not drift.complete(column(spark, [1, None]), ["v"])
     rows = drift.project_features(spark.createDataFrame([("r", "x", 82000.0, 3)], "id string, c string, f double, n long").withColumn("t", F.current_timestamp()), "id", ["c"], ["f", "n"], "t").collect()
