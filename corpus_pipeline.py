@@ -3,8 +3,9 @@
 1. quality_rules: rows that the quality rules reject go.
 2. toxicity: rows with a toxicity score at or above the threshold go.
 3. near_duplicates: of each group linked by 5-word shingle similarity of at
-   least 0.75, the row with the smallest doc_id stays; of rows that repeat
-   that id, one.  Empty texts link with nothing; rows with a null doc_id stay.
+   least 0.75, one row with the smallest doc_id stays.  Texts without words
+   link with nothing, of their exact repeats (id and text) one stays; rows
+   with a null doc_id stay.
 4. decontamination: rows that leak a benchmark item go.
 5. best_fit_packing: token pieces of the kept rows, placed in sequences of
    1024 tokens.
@@ -15,8 +16,7 @@ Stages 1 to 4 return the columns of ``documents``.  An empty table stays empty.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.llm import decontaminate, frames, jaccard_join, packing, quality_rules, toxicity
 
@@ -37,21 +37,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # a key for each row: ids may repeat
-    docs = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
-    comps = jaccard_join.jaccard_components(docs.select(F.col("_row").alias("doc_id"), "text"))
-    placed = comps.select(F.col("doc_id").alias("_row"), "component_id").join(docs.select("_row", "doc_id", "n_chars", "lang", "source"), "_row").where("doc_id is not null")
-    placed = frames.checkpointed(placed.select("_row", "component_id", "doc_id", "n_chars", "lang", "source"))
-    kept = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "n_chars", "lang", "source", "_row")).alias("k")).select("k._row")
-    dropped = frames.checkpointed(placed.select("_row").join(kept, "_row", "left_anti"))
-    repeated = placed.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = frames.checkpointed(placed.join(repeated, "doc_id", "left_semi").select("_row"))
-    # texts are shuffled only for rows that may be dropped or repeated
-    some, rest = frames.split_by_bitmap(docs, "_row", frames.bitmap(dropped.unionByName(again), "_row", jaccard_join.BITMAP))
-    # rows without words link with nothing, their exact repeats go here
-    w = Window.partitionBy("doc_id", F.xxhash64("text"), F.when(F.col("doc_id").isNull(), F.col("_row"))).orderBy("n_chars", "lang", "source")
-    first = some.join(dropped, "_row", "left_anti").withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return rest.select(*COLUMNS).unionByName(first.select(*COLUMNS))
+    return jaccard_join.first_documents(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

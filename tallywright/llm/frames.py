@@ -9,7 +9,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -104,30 +103,27 @@ def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(lambda batches: tidy(fn(batches)), schema)
 
 
-def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A boolean array of ``bits`` places, true where some value's hash falls; the same size whatever the rows."""
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
-    words = df.select(place.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("v")).collect()
-    table = np.zeros(bits // 64, np.uint64)
-    for r in words:
-        table[r["w"]] = r["v"] & (2**64 - 1)
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-
-def split_by_bitmap(df: DataFrame, column: str, found: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have a value of the bitmap, rows that have none), all columns; two passes, no shuffle."""
-    packed = np.packbits(found)
-    names, schema = df.columns, df.schema
-
-    def part(want: bool) -> DataFrame:
-        def keep(b: pa.RecordBatch):
-            place = b.column(b.num_columns - 1).to_numpy()
-            got = b.filter(pa.array(((packed[place >> 3] >> (7 - (place & 7))) & 1).astype(bool) == want))
-            return got.select(range(len(names))) if got.num_rows else None
+def bitmap_split(df: DataFrame, column: str, wanted: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose value may be in ``wanted``, rows whose value is not there or null), all columns; no shuffle of ``df``.
 
-        return map_arrow(df.withColumn("_place", F.pmod(F.xxhash64(column), F.lit(len(found)))), keep, schema)
-
-    return part(True), part(False)
+    The wanted values' hashes fall into a map of ``bits`` places, kept as a
+    table of its 64-bit words: bits / 64 rows at most, whatever the input.
+    """
+    word, map_of = free_name(df, "word"), free_name(df, "map")
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    words = wanted.where(F.col(column).isNotNull()).select(place.alias("b")).groupBy(F.expr("b div 64").alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias(map_of))
+    words = F.broadcast(checkpointed(words))
+    bit = F.call_function("getbit", F.col(map_of), (place % 64).cast("int"))
+    there = df[column].isNotNull() & (F.floor(place / 64) == F.col(word)) & (bit == 1)
+    return df.join(words, there, "left_semi"), df.join(words, there, "left_anti")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:

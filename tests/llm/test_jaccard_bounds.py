@@ -24,18 +24,16 @@ def test_near_copies_without_an_id(spark):
 
 
 def test_sets_with_cut_group_counts_still_pair():
-    """A link of 4.9 million shingles needs an overlap above DIMS * 65535: two members are compared entry by entry, 40 in a tree."""
-    size = 4_900_000
-    full = jaccard_join.point(np.repeat(np.arange(jaccard_join.DIMS, dtype=np.uint64) << np.uint64(40), size // jaccard_join.DIMS + 1))
+    """Five million shingles in groups that each hold more than is counted: two members are compared entry by entry, 40 in a tree."""
+    dims = jaccard_join.MOST_DIMS
+    size = dims * (jaccard_join.FULL + 60)
+    full = jaccard_join.point(np.repeat(np.arange(dims, dtype=np.uint64) << np.uint64(40), size // dims))
+    assert (full == jaccard_join.FULL).all()
     for members in (2, 40):
         n = np.full(members, size)
-        pts = np.stack([full] * members)
-        k = np.arange(members)
-        zero = np.zeros(members, np.int64)
-        found = set()
-        for x, y in jaccard_join.group_pairs(np.array([0, members]), n, zero, pts, k, zero, np.array([False])):
-            found |= {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
-        assert found == {(a, b) for a in range(members) for b in range(a + 1, members)}
+        pts = jaccard_join.Points([full.tobytes()] * members)
+        label = jaccard_join.candidate_labels(np.array([0, members]), n, pts, np.arange(members), np.zeros(members, np.int64), np.array([False]))
+        assert not label.any()
 
 
 def test_repeated_ids_are_dropped_by_row(spark):

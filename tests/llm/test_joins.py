@@ -69,10 +69,9 @@ def test_jaccard_components(spark, clusters, monkeypatch):
 
 
 def test_jaccard_components_with_split_groups(spark, clusters, monkeypatch):
-    """The same with tiny bounds, so that chains, tree blocks and spread verification all take part."""
-    monkeypatch.setattr(jaccard_join, "LARGE_GROUP", 4)
-    monkeypatch.setattr(jaccard_join, "TREE", 16)
-    monkeypatch.setattr(jaccard_join, "VERIFY_ROWS", 2)
+    """The same with tiny bounds, so that blocks, elections over several levels and comparisons across blocks all take part."""
+    monkeypatch.setattr(jaccard_join, "TREE", 3)
+    monkeypatch.setattr(jaccard_join, "TREE_SHINGLES", 2000)
     monkeypatch.setattr(jaccard_join, "BUCKET", 500)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(helpers.documents(spark, clusters)).collect())
     assert got == brute_components(clusters)
@@ -90,13 +89,33 @@ def test_tree_keeps_every_link():
         base = r.integers(0, 2**63, r.integers(20, 200)).astype(np.uint64)
         sets += [np.unique(np.where(r.random(len(base)) < 0.08, r.integers(0, 2**63, len(base)).astype(np.uint64), base)) for _ in range(6)]
     n = np.array([len(s) for s in sets])
-    pts = np.stack([jaccard_join.point(s) for s in sets])
-    comp, side, pos = np.arange(len(sets)), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-    found = set()
-    for x, y in jaccard_join.group_pairs(np.array([0, len(sets)]), n, pos, pts, comp, side, np.array([False])):
-        found |= {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
-    links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
-    assert links and links <= found and len(found) < 0.5 * len(sets) ** 2 / 2
+    pts = jaccard_join.Points([jaccard_join.point(s).tobytes() for s in sets])
+    comp, side = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+    x, y = np.array(links).T
+    assert pts.may_overlap(x, y, jaccard_join.needed(n[x] + n[y])).all()
+    tree = jaccard_join.CountTree(n, pts.coarse, comp, side)
+    assert set(links) <= {tuple(sorted(p)) for x, y in tree.leaf_pairs(False) for p in zip(x.tolist(), y.tolist())}
+    for start in ([0, len(sets)], [0, 6, 12, len(sets)]):
+        label = jaccard_join.candidate_labels(np.array(start), n, pts, comp, side, np.zeros(len(start) - 1, bool))
+        of = np.searchsorted(start, np.arange(len(sets)), "right")
+        assert all(label[a] == label[b] for a, b in links if of[a] == of[b])
+        assert len(np.unique(label)) >= 40
+
+
+def test_cluster_links_are_a_spanning_forest():
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 2**63, 120).astype(np.uint64))
+    sets = [np.unique(np.where(r.random(len(base)) < p, r.integers(0, 2**63, len(base)).astype(np.uint64), base)) for p in [0.0] + [0.05, 0.1, 0.15, 0.2, 0.5] * 8]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+    for members in (range(len(sets)), range(0, len(sets), 12)):
+        k = {m: i for i, m in enumerate(members)}
+        want = jaccard_join.unite(np.arange(len(k)), *np.array([(k[a], k[b]) for a, b in links if a in k and b in k]).reshape(-1, 2).T.astype(np.int64))
+        made = jaccard_join.cluster_links([sets[m] for m in members], list(members), [0] * len(k), False)
+        assert len(made) == len(k) - len(np.unique(want))
+        assert (jaccard_join.unite(np.arange(len(k)), *np.array(made, np.int64).reshape(-1, 2).T) == want).all()
+    assert jaccard_join.cluster_links(sets, [0] * len(sets), [0] * len(sets), False) == []
+    assert jaccard_join.cluster_links(sets, list(range(len(sets))), [0] * len(sets), True) == []
 
 
 def test_components_of_a_path_and_a_star(spark):
