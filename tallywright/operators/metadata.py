@@ -289,7 +289,11 @@ def keyset_page(df: DataFrame, keys: tuple[str, ...], after: tuple | None, limit
     """A page of at most ``limit`` (1 to 200) rows after the key, and a function that gives the next key if there is more."""
     if not 1 <= limit <= 200:
         raise QueryError("the limit must be from 1 to 200")
-    src = df if after is None else df.where(F.struct(*keys) > F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, after)]))
+    src = df
+    if after is not None:
+        # the first key alone reaches the files; the whole key decides
+        src = df.where(F.col(keys[0]) >= F.lit(after[0]).cast(df.schema[keys[0]].dataType))
+    src = src if after is None else src.where(F.struct(*keys) > F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, after)]))
     probe = src.orderBy(*keys).limit(limit + 1)
 
     def following() -> tuple | None:
@@ -312,6 +316,21 @@ def latest_version(df: DataFrame, least: tuple[int, int, int], below: tuple[int,
     return df.where(cond).orderBy(v.desc()).limit(1)
 
 
+def list_cards(df: DataFrame, kind: str | None = None, name: str | None = None, status: str | None = None, least: tuple[int, int, int] | None = None, below: tuple[int, int, int] | None = None, prerelease: bool = False) -> DataFrame:
+    """Cards by kind, name, status and version range; deleted ones only if asked for, pre-releases only with ``prerelease``."""
+    v = F.struct("major", "minor", "patch")
+
+    def bound(t):
+        return F.struct(*[F.lit(x).cast(df.schema[n].dataType).alias(n) for n, x in zip(("major", "minor", "patch"), t)])
+
+    out = df.where(F.col("status") != "deleted") if status is None else df.where(F.col("status") == status)
+    out = out if kind is None else out.where(F.col("kind") == kind)
+    out = out if name is None else out.where(F.col("name") == name)
+    out = out if least is None else out.where(v >= bound(least))
+    out = out if below is None else out.where(v < bound(below))
+    return out if prerelease else out.where(F.col("pre").isNull())
+
+
 # --- queries ---------------------------------------------------------------
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -326,6 +345,41 @@ def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_documents(spark, sf_dir), 'labels.env != "prod" and not (status = "s1" or n_chars > 5000) or labels.lang in ["fr", "es"]', DOCS).select("doc_id")
 
 
+#: A query for each operator and kind of literal, with the condition in SQL.
+OPERATOR_QUERIES: dict[str, str] = {
+    'labels.env = "prod"': "doc_id % 3 = 0",
+    'labels.env != "prod"': "doc_id % 3 <> 0",
+    "n_chars > 1000": "n_chars > 1000",
+    "n_chars >= 1000": "n_chars >= 1000",
+    "n_chars < 1000": "n_chars < 1000",
+    "n_chars <= 1us": "n_chars <= 1000",
+    'status =~ "^s[12]$"': "doc_id % 5 IN (1, 2)",
+    'status !~ "^s[12]$"': "doc_id % 5 NOT IN (1, 2)",
+    'status in ["s1", "s3"]': "doc_id % 5 IN (1, 3)",
+    'status not in ["s1", "s3"]': "doc_id % 5 NOT IN (1, 3)",
+    "labels.lang exists": "doc_id % 3 = 0 AND lang IS NOT NULL",
+    "labels.lang not exists": "NOT (doc_id % 3 = 0 AND lang IS NOT NULL)",
+    'not (labels."env" = "dev" or n_chars > 2ms) and status exists': "NOT (doc_id % 3 = 1 OR n_chars > 2000000) AND doc_id % 5 <> 0",
+}
+
+
+def metadata_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of every operator's query, and its canonical text, which reads back as the same query."""
+    d, out = _documents(spark, sf_dir), None
+    for k, text in enumerate(OPERATOR_QUERIES):
+        tree = parse(text)
+        if parse(show(tree)) != tree:
+            raise QueryError(f"{text!r} does not read back")
+        here = search(d, show(tree), DOCS).agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n")
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+def card_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "model").otherwise("prompt").alias("kind"), F.concat(F.lit("n"), (F.col("p_partkey") % 10).cast("string")).alias("name"), F.when(F.col("p_partkey") % 9 == 0, "deleted").otherwise("active").alias("status"), (F.col("p_partkey") % 4).alias("major"), (F.col("p_partkey") % 7).alias("minor"), F.col("p_partkey").alias("patch"), F.when(F.col("p_partkey") % 5 == 0, "rc").alias("pre"))
+    return list_cards(p, kind="model", name="n4", least=(1, 2, 0), below=(3, 0, 0)).select("id").unionByName(list_cards(p, status="deleted", prerelease=True).select("id"))
+
+
 def keyset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page, _ = keyset_page(load(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ("o_orderdate", "o_orderkey"), ("2023-06-01 00:00:00", 0), 50)
     return page.select("o_orderkey")
@@ -336,9 +390,11 @@ def version_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_version(p, (1, 2, 0), (3, 0, 0)).select("major", "minor", "patch")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (metadata_filter, keyset_pages, version_latest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (metadata_filter, metadata_operators, card_list, keyset_pages, version_latest)}
 ORACLE_SQL: dict[str, str] = {
     "metadata_filter": "SELECT doc_id FROM documents WHERE (doc_id % 3 <> 0 AND NOT ((doc_id % 5 = 1) OR n_chars > 5000)) OR (doc_id % 3 = 0 AND lang IN ('fr', 'es'))",
+    "metadata_operators": " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS n FROM documents WHERE {sql}" for k, sql in enumerate(OPERATOR_QUERIES.values())),
+    "card_list": "SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 10 = 4 AND p_partkey % 9 <> 0 AND p_partkey % 5 <> 0 AND (p_partkey % 4 > 1 OR p_partkey % 4 = 1 AND p_partkey % 7 >= 2) AND p_partkey % 4 < 3 UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 9 = 0",
     "keyset_pages": "SELECT o_orderkey FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '2023-06-01 00:00:00', 0) ORDER BY o_orderdate, o_orderkey LIMIT 50",
     "version_latest": "SELECT p_partkey % 4 AS major, p_partkey % 7 AS minor, p_partkey AS patch FROM part WHERE p_partkey % 5 <> 0 AND (p_partkey % 4 > 1 OR p_partkey % 4 = 1 AND p_partkey % 7 >= 2) AND p_partkey % 4 < 3 ORDER BY 1 DESC, 2 DESC, 3 DESC LIMIT 1",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.plans import dialect
+from tallywright.plans import dialect, gate
 from tallywright.session import load
 
 EVENTS = "tally.traces.events"
@@ -32,6 +32,56 @@ STATEMENTS: dict[str, tuple[str, list, str]] = {
         [],
         "SELECT user_id, max(event_id) AS last, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY user_id",
     ),
+    "struct_fields": (
+        f"SELECT event_id, p['f']['i'] AS i, p.name AS name FROM {EVENTS} WHERE p['f']['i'] > $1",
+        [50.0],
+        "SELECT event_id, value AS i, event_type AS name FROM events WHERE value > 50",
+    ),
+    "binary_literal": (
+        f"SELECT event_id FROM {EVENTS} WHERE CAST(event_type AS BINARY) = X'636C69636B'",
+        [],
+        "SELECT event_id FROM events WHERE event_type = 'click'",
+    ),
+    "raw_instants": (
+        f"SELECT event_id, to_timestamp_micros(event_id * 1000003) AS a, to_timestamp_nanos(event_id * 1000 - 500001) AS b, CAST(e.ts AS BIGINT) AS us, CAST(event_id AS BIGINT) AS n FROM {EVENTS} e",
+        [],
+        "SELECT event_id, make_timestamp(event_id * 1000003) AS a, make_timestamp(CAST(floor((event_id * 1000 - 500001) / 1000.0) AS BIGINT)) AS b, epoch_us(ts) AS us, event_id AS n FROM events",
+    ),
+    "raw_instant_bounds": (
+        f"SELECT user_id, CAST(max(ts) AS BIGINT) - CAST(min(ts) AS BIGINT) AS width FROM {EVENTS} GROUP BY user_id",
+        [],
+        "SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS width FROM events GROUP BY user_id",
+    ),
+    "zipped_unnest": (
+        f"SELECT event_id, unnest(array(user_id, event_id)) AS x, event_type, unnest(array('a', 'b', 'c')) AS y FROM {EVENTS}",
+        [],
+        "SELECT event_id, event_type, unnest([user_id, event_id, NULL]) AS x, unnest(['a', 'b', 'c']) AS y FROM events",
+    ),
+    "list_cast": (
+        f"SELECT event_id, array_element(CAST(array(CAST(user_id AS VARCHAR), '7') AS BIGINT[]), 1) AS first, array_element(CAST(array('1') AS BIGINT[]), 2) AS none, cardinality(CAST(array('1', '2') AS BIGINT[])) AS n FROM {EVENTS}",
+        [],
+        "SELECT event_id, user_id AS first, CAST(NULL AS BIGINT) AS none, 2 AS n FROM events",
+    ),
+    "variant_json": (
+        f"SELECT event_id, to_json(v) AS j FROM {EVENTS}",
+        [],
+        "SELECT event_id, CAST(json(props) AS VARCHAR) AS j FROM events",
+    ),
+    "nth_values": (
+        f"SELECT event_id, nth_value(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM {EVENTS}",
+        [],
+        "SELECT event_id, nth_value(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM events",
+    ),
+    "scalar_subquery_rows": (
+        f"SELECT event_id, value - (SELECT avg(value) FROM {EVENTS}) AS gap FROM {EVENTS} WHERE user_id = (SELECT min(user_id) FROM {EVENTS}) AND value > (SELECT value FROM {EVENTS} WHERE event_id = -1 UNION ALL SELECT 10)",
+        [],
+        "SELECT event_id, value - (SELECT avg(value) FROM events) AS gap FROM events WHERE user_id = (SELECT min(user_id) FROM events) AND value > 10",
+    ),
+    "comma_join": (
+        f"WITH busy AS (SELECT user_id, count(*) AS n FROM {EVENTS} GROUP BY user_id HAVING count(*) > 12) SELECT e.event_id, b.n FROM {EVENTS} e, busy b WHERE e.user_id = b.user_id",
+        [],
+        "WITH busy AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 12) SELECT e.event_id, b.n FROM events e, busy b WHERE e.user_id = b.user_id",
+    ),
     "trace_list": (
         f"SELECT event_id, ts, value FROM {EVENTS} WHERE event_type IN ($1, $2) ORDER BY ts DESC NULLS LAST, event_id ASC NULLS LAST LIMIT 51",
         ["error", "click"],
@@ -44,7 +94,8 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     sql, params, _ = STATEMENTS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        load(spark, sf_dir, "events").selectExpr("*", "parse_json(props) AS v").createOrReplaceTempView("tally_events")
+        gate.check_statement(sql, spark)
+        load(spark, sf_dir, "events").selectExpr("*", "parse_json(props) AS v", "named_struct('f', named_struct('i', value), 'name', event_type) AS p").createOrReplaceTempView("tally_events")
         return dialect.query(spark, sql, params, {EVENTS: "tally_events"})
 
     return run

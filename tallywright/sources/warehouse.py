@@ -15,7 +15,7 @@ import datetime as dt
 import json
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from urllib.parse import quote, unquote
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.plans import dialect, gate
+from tallywright.session import load, scratch
 from tallywright.sources.schema import BUILT_IN, CATALOG, NAMESPACES, OWNED_BY_CALLERS, SchemaError, Table, alter, check_columns, check_name, ddl, fingerprint, stamp
 
 MANIFEST = ddl("batch_id string, path string, rows bigint, bytes bigint, files bigint, min_us bigint, max_us bigint, partitions array<string>, replaces array<string>, committed_us bigint")
@@ -327,3 +328,72 @@ def may_hold(lo: int | None, hi: int | None, begin: int | None, end: int | None)
     if lo is None or hi is None or lo > hi:
         return True
     return (begin is None or hi >= begin) and (end is None or lo < end)
+
+
+# --- queries ---------------------------------------------------------------
+EVENTS = ddl("event_id long NOT NULL, user_id long, event_type string, ts timestamp NOT NULL, value double")
+COLUMNS = EVENTS.names
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, Table, DataFrame]:
+    """A new warehouse with an empty table of events, and the driver's events."""
+    w = Warehouse(spark, f"{scratch(spark)}/warehouse-{uuid.uuid4().hex[:12]}", "acme")
+    t = w.register("events", EVENTS, time_column="ts", partition_by="month", sort_keys=("ts", "event_id"), bloom_columns=("event_id",))
+    return w, t, load(spark, sf_dir, "events").select(*COLUMNS)
+
+
+def warehouse_live_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published, compacted and live batches, each sent twice, read as one table by SQL."""
+    w, t, ev = _store(spark, sf_dir)
+    for k in (0, 1, 0):
+        w.write(t, ev.where(F.col("event_id") % 4 == k), f"b{k}")
+    w.compact(t, kind="full")
+    for k in (2, 3, 2, 1):
+        w.acknowledge(t, ev.where(F.col("event_id") % 4 == k), f"b{k}")
+    return w.sql(f"SELECT event_id, user_id, value FROM {t.full_name}")
+
+
+def warehouse_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A half-open window of event time, pruned by the manifest and pushed to the files."""
+    w, t, ev = _store(spark, sf_dir)
+    cut = F.lit("2024-01-12").cast("timestamp")
+    w.write(t, ev.where(F.col("ts") < cut), "early")
+    w.write(t, ev.where(F.col("ts") >= cut), "late")
+    us = [int(dt.datetime(2024, 1, day, tzinfo=dt.timezone.utc).timestamp()) * 1_000_000 for day in (3, 9)]
+    return w.scan(t, *us).select("event_id", "ts")
+
+
+def warehouse_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pinned snapshot, read after later evidence came in and was published."""
+    w, t, ev = _store(spark, sf_dir)
+    w.write(t, ev.where("event_id % 3 = 0"), "b0")
+    pinned = w.pin(t)
+    w.acknowledge(t, ev.where("event_id % 3 = 1"), "b1")
+    w.write(t, ev.where("event_id % 3 = 2"), "b2")
+    return w.scan(t, pinned=pinned).select("event_id")
+
+
+def warehouse_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's rows and bounds after small batches were compacted and the old files expired."""
+    w, t, ev = _store(spark, sf_dir)
+    for k in range(3):
+        w.write(t, ev.where(F.col("event_id") % 3 == k), f"b{k}")
+    w.compact(t, kind="full")
+    w.expire(t, time.time_ns() // 1000 + 1)
+    w.rewrite_manifest(t)
+    return w.file_list(t).select("rows", "min_us", "max_us")
+
+
+def warehouse_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, t, _ = _store(spark, sf_dir)
+    return w.sql(f"SELECT (SELECT count(*) FROM {t.full_name}) AS own, (SELECT count(*) FROM {CATALOG}.traces.spans) AS spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (warehouse_live_union, warehouse_window, warehouse_pinned, warehouse_inventory, warehouse_empty)}
+ORACLE_SQL: dict[str, str] = {
+    "warehouse_live_union": "SELECT event_id, user_id, value FROM events",
+    "warehouse_window": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09'",
+    "warehouse_pinned": "SELECT event_id FROM events WHERE event_id % 3 = 0",
+    "warehouse_inventory": "SELECT count(*) AS rows, epoch_us(min(ts)) AS min_us, epoch_us(max(ts)) AS max_us FROM events",
+    "warehouse_empty": "SELECT CAST(0 AS BIGINT) AS own, CAST(0 AS BIGINT) AS spans",
+}

@@ -65,13 +65,6 @@ def dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(ev.unionByName(ev.where("event_id % 3 = 0")), "event_id", "ts", "1 hour")
 
 
-def live_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published rows and live ones, live batches that are published left out."""
-    ev = load(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 10).alias("batch"), "value")
-    published, live = ev.where("batch < 7"), ev.where("batch >= 5")
-    return published.unionByName(live.join(F.broadcast(published.select("batch").distinct()), "batch", "left_anti"))
-
-
 def session_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(load(spark, sf_dir, "events"), "user_id", "ts", "2 hours", [F.count("*").alias("n")]).select("user_id", "start", "n")
 
@@ -81,10 +74,9 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(slots(spark, "2024-01-01 00:00:00", "2024-02-10 00:00:00", "'6' HOUR"), agg, F.when(F.col("errors") * 3 > F.col("n"), "failed").when(F.col("n") > 0, "passed"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (dedup_batches, live_union, session_groups, tumbling_windows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (dedup_batches, session_groups, tumbling_windows)}
 ORACLE_SQL: dict[str, str] = {
     "dedup_batches": "SELECT event_id, ts, value FROM events",
-    "live_union": "SELECT event_id, event_id % 10 AS batch, value FROM events",
     "session_groups": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS brk FROM events), s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "tumbling_windows": "WITH c AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-09 18:00:00', INTERVAL '6 hours')) AS start), a AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS start, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1) SELECT start, CASE WHEN errors * 3 > n THEN 'failed' WHEN n > 0 THEN 'passed' ELSE 'inconclusive' END AS verdict FROM c LEFT JOIN a USING (start)",
 }
