@@ -173,53 +173,59 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
-def brute_kn(train, order):
+def brute_kn(texts, order):
+    """Byte grams of a text, and the interpolated modified Kneser-Ney probability of one, in plain dictionaries."""
+
     def grams(t):
-        t = re.sub(r"[\x20\x09-\x0D]+", " ", t.translate(helpers.LOW)).strip(" ")
-        t = "\x02" * (order - 1) + t if t else ""
-        return [t[k : k + order] for k in range(len(t) - order + 1)]
+        low = " ".join(helpers.SPACE.findall(t.translate(helpers.LOW))).encode()
+        full = b"\x02" * (order - 1) + low if low else b""
+        return [full[k : k + order] for k in range(len(full) - order + 1)]
 
-    tables = {order: Counter(g for t in train for g in grams(t or ""))}
+    tables = {order: Counter(g for t in texts for g in grams(t))}
     for k in range(order - 1, 0, -1):
         tables[k] = Counter(g[1:] for g in tables[k + 1])
-    cuts = {}
-    for k, table in tables.items():
-        n = Counter(table.values())
-        if not n[1] or not n[2]:
-            cuts[k] = (0.5, 0.75, 0.9)
-            continue
-        y = n[1] / (n[1] + 2 * n[2])
-        d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 0.9]
-        cuts[k] = tuple(min(max(x, 0.05), j - 0.05) for j, x in zip((1, 2, 3), d))
-    ctx = defaultdict(lambda: [0.0, 0.0])
-    for k, table in tables.items():
-        for g, c in table.items():
-            ctx[k, g[:-1]][0] += c
-            ctx[k, g[:-1]][1] += cuts[k][min(c, 3) - 1]
+    cuts = {k: ngram_quality.discounts(*(sum(n == c for n in t.values()) for c in (1, 2, 3, 4))) for k, t in tables.items()}
+    followers = {k: defaultdict(list) for k in tables}
+    for k, t in tables.items():
+        for g, n in t.items():
+            followers[k][g[:-1]].append(n)
 
     def p(g):
-        k = len(g)
-        low = 1 / (len(tables[1]) + 1) if k == 1 else p(g[1:])
-        total, held = ctx.get((k, g[:-1]), (0, 0))
-        if not total:
+        low = p(g[1:]) if len(g) > 1 else 1 / 256
+        seen, cut = followers[len(g)].get(g[:-1]), cuts[len(g)]
+        if not seen:
             return low
-        c = tables[k][g] if g in tables[k] else 0
-        return max(c - cuts[k][min(c, 3) - 1], 0) / total + held / total * low if c else held / total * low
+        n = tables[len(g)].get(g, 0)
+        held = sum(cut[min(x, 3) - 1] for x in seen)
+        return (max(n - cut[min(n, 3) - 1], 0) if n else 0) / sum(seen) + held / sum(seen) * low
 
     return grams, p
 
 
-def test_kneser_ney_against_brute_force(spark):
-    rows = [(i, " ".join(helpers.words(i, 30, 40))) for i in range(40)] + [(100, "zzz qqq xxx" * 5), (101, "Ünïcode 中文 tests")] + helpers.odd_rows()[:3] + [(7, "again with the same id")]
-    trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,)], "doc_id long")
-    got = ngram_quality.perplexities(helpers.documents(spark, rows).repartition(3), trusted, 4).collect()
-    grams, p = brute_kn([t for i, t in rows if i is not None and i < 40 and i % 2 == 0], 4)
+def counted_ids(spark, ids):
+    """Trusted ids that the model counts, and those that it holds out."""
+    from pyspark.sql import functions as F
+
+    held = {r.i for r in spark.createDataFrame([(i,) for i in ids], "i long").where(F.pmod(F.xxhash64("i"), F.lit(ngram_quality.HELD_OUT)) == 0).collect()}
+    return set(ids) - held, held
+
+
+@pytest.mark.parametrize("order, fan", [(4, 256), (6, 2)])
+def test_kneser_ney_against_brute_force(spark, monkeypatch, order, fan):
+    """Also with so low a fan-in that counts are merged in several steps and shards are copied."""
+    monkeypatch.setattr(ngram_quality, "FAN_IN", fan)
+    rows = [(i, " ".join(helpers.words(i, 30, 40))) for i in range(40)] + [(100, "zzz qqq xxx" * 5), (101, "Ünïcode 中文 tests")] + helpers.odd_rows()[:3] + [(7, "again with the same id"), (8, " led\tby \n spaces\x02 ")]
+    ids = list(range(0, 40, 2))
+    counted, held = counted_ids(spark, ids)
+    assert counted and held
+    got = ngram_quality.perplexities(helpers.documents(spark, rows).repartition(5), spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long"), order).collect()
+    grams, p = brute_kn([t or "" for i, t in rows if i in counted], order)
     want = Counter()
     for i, t in rows:
         g = grams(t or "")
         ppl = math.exp(-sum(math.log(p(x)) for x in g) / len(g)) if g else None
-        want[i, len(g), ppl and round(ppl, 3)] += 1
-    assert Counter((r.doc_id, r.n_grams, r.perplexity and round(r.perplexity, 3)) for r in got) == want
+        want[i, len(g), 1 if i in counted else 2 if i in held else 0, ppl and round(ppl, 2)] += 1
+    assert Counter((r.doc_id, r.n_grams, r.trusted, r.perplexity and round(r.perplexity, 2)) for r in got) == want
 
 
 def test_quality_thresholds_by_language(spark):
