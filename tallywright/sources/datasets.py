@@ -5,24 +5,40 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallywright.session import checkpointed, load
+from tallywright.session import checkpointed, load, scratch
+from tallywright.sources import office
 
 CODECS = {"none": "uncompressed", "snappy": "snappy", "gzip": "gzip", "zstd": "zstd", "lz4": "lz4"}
 
 
-def save(df: DataFrame, path: str, interface: str, compression: str = "none", rows_per_file: int | None = None) -> None:
-    """parquet, jsonl, csv or text; ``rows_per_file`` bounds the lines of each file."""
+def save(df: DataFrame, path: str, interface: str, compression: str = "none", rows_per_file: int | None = None, row_group_bytes: int | None = None) -> None:
+    """parquet, jsonl, csv, text, and Arrow IPC or NumPy files; ``rows_per_file`` bounds the rows of each file.
+
+    Arrow files (``arrow``) and arrays (``npy``, one numeric column, or ``npz``,
+    an array for each) are written by the tasks, a file for each partition, and
+    moved into place, so a retry replaces them.
+    """
+    if interface in ("arrow", "npy", "npz"):
+        _save_parts(df, path, interface)
+        return
     w = df.write.mode("overwrite")
     if rows_per_file:
         w = w.option("maxRecordsPerFile", rows_per_file)
-    if interface == "parquet":
+    if interface in ("parquet", "pandas"):
+        if row_group_bytes:
+            w = w.option("parquet.block.size", row_group_bytes)
         w.option("compression", CODECS[compression]).parquet(path)
     elif interface == "jsonl":
         w.option("compression", compression).json(path)
@@ -34,9 +50,66 @@ def save(df: DataFrame, path: str, interface: str, compression: str = "none", ro
         raise ValueError(f"unknown interface {interface!r}")
 
 
+def _save_parts(df: DataFrame, path: str, interface: str) -> None:
+    names = df.columns
+    if interface == "npy" and len(names) != 1:
+        raise ValueError("npy holds one column")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        out = io.BytesIO()
+        if interface == "arrow":
+            with pa.ipc.new_file(out, got[0].schema) as sink:
+                for b in got:
+                    sink.write_batch(b)
+        else:
+            arrays = {c: pa.chunked_array([b.column(i) for b in got]).to_numpy() for i, c in enumerate(names)}
+            np.save(out, arrays[names[0]]) if interface == "npy" else np.savez(out, **arrays)
+        name = f"part-{TaskContext.get().partitionId():05d}.{interface}"
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.getvalue()], pa.binary())], ["name", "content"])
+
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    fs.delete(folder, True)
+    fs.mkdirs(folder)
+    # one part at a time passes through the driver
+    for r in df.mapInArrow(write, "name string, content binary").toLocalIterator():
+        sink = fs.create(jvm.org.apache.hadoop.fs.Path(folder, r["name"]), True)
+        sink.write(bytearray(r["content"]))
+        sink.close()
+
+
+def _open_parts(spark: SparkSession, path: str, interface: str, schema) -> DataFrame:
+    if schema is None:
+        raise ValueError(f"{interface} files need a schema")
+    wanted = spark.createDataFrame([], schema).schema
+    target = to_arrow_schema(wanted)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                data = io.BytesIO(content.as_buffer().to_pybytes())
+                if interface == "arrow":
+                    file = pa.ipc.open_file(data)
+                    for part in (file.get_batch(k) for k in range(file.num_record_batches)):
+                        yield part.select(target.names).cast(target)
+                else:
+                    got = np.load(data, allow_pickle=False)
+                    arrays = [got] if interface == "npy" else [got[n] for n in target.names]
+                    yield pa.RecordBatch.from_arrays([pa.array(a).cast(f.type) for a, f in zip(arrays, target)], schema=target)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{interface}").load(path).select("content").mapInArrow(read, wanted)
+
+
 def open_dataset(spark: SparkSession, path: str, interface: str, schema=None) -> DataFrame:
     read = spark.read.schema(schema) if schema is not None else spark.read
-    if interface == "parquet":
+    if interface in ("arrow", "npy", "npz"):
+        return _open_parts(spark, path, interface, schema)
+    if interface in ("parquet", "pandas"):
         return read.parquet(path)
     if interface == "jsonl":
         return read.json(path)
@@ -94,10 +167,10 @@ def split_by_indices(df: DataFrame, order: tuple[str, ...], indices: list[int])
 
 # --- extraction ------------------------------------------------------------
 def extract(files: DataFrame) -> DataFrame:
-    """One JSON document for each file (path, content): CSV rows as text with the header kept, JSON values, text unchanged.
+    """One JSON document for each file (path, content): CSV rows as text with the header kept, JSON values, text unchanged, Office files by block, slide and cell.
 
-    Anything that cannot be read is inconclusive, with the reason; office and
-    PDF files need a parser that is not installed.
+    Anything that cannot be read is inconclusive, with the reason; PDF files
+    need a parser that is not installed.
     """
 
     @F.pandas_udf("document string, status string, reason string")
@@ -110,6 +183,8 @@ def extract(files: DataFrame) -> DataFrame:
 def _extract(path: str, content: bytes) -> tuple[str | None, str, str | None]:
     kind = path.rsplit(".", 1)[-1].lower()
     try:
+        if kind in office.READERS:
+            return json.dumps(office.READERS[kind](content), ensure_ascii=False, separators=(",", ":")), "ok", None
         text = content.decode("utf-8")
         if kind == "csv":
             body = {"format": "csv", "rows": [list(r) for r in csv.reader(io.StringIO(text))]}
@@ -119,7 +194,7 @@ def _extract(path: str, content: bytes) -> tuple[str | None, str, str | None]:
             body = {"format": {"txt": "text", "md": "markdown"}.get(kind, "html"), "text": text}
         else:
             return None, "inconclusive", f"no parser for {kind}"
-    except (UnicodeDecodeError, ValueError) as e:
+    except (LookupError, NotImplementedError, RuntimeError, ValueError) as e:
         return None, "inconclusive", str(e)
     return json.dumps(body, ensure_ascii=False, separators=(",", ":")), "ok", None
 
@@ -137,18 +212,31 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
 
 
+def dataset_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written and read again through every interface; rows that came back as they were."""
+    src = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    out = None
+    for kind in ("parquet", "jsonl", "csv", "arrow", "npz"):
+        path = f"{scratch(spark)}/dataset-{uuid.uuid4().hex[:12]}"
+        save(src, path, kind)
+        here = open_dataset(spark, path, kind, src.schema).join(src, ["o_orderkey", "o_totalprice"], "left_semi").agg(F.count("*").alias("rows")).select(F.lit(kind).alias("interface"), "rows")
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
 def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as HTML evidence files."""
     p = load(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
     return extract(p).select("path", "status", F.get_json_object("document", "$.format").alias("format"), F.length(F.get_json_object("document", "$.text")).cast("long").alias("chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (split_indices, split_column, dataset_stats, extract_documents)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (split_indices, split_column, dataset_stats, dataset_round_trip, extract_documents)}
 ORACLE_SQL: dict[str, str] = {
     "split_indices": "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i >= 100 AND i < 250",
     "split_column": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P')",
     "dataset_stats": "WITH j AS (SELECT '{\"doc_id\":' || doc_id || ',\"lang\":' || coalesce(to_json(lang)::VARCHAR, 'null') || ',\"source\":' || coalesce(to_json(source)::VARCHAR, 'null') || ',\"n_chars\":' || coalesce(n_chars::VARCHAR, 'null') || '}' AS r FROM documents), h AS (SELECT octet_length(encode(r)) AS b, sha256(r) AS h FROM j) SELECT count(*) AS rows, (SELECT count(*) FROM (DESCRIBE SELECT doc_id, lang, source, n_chars FROM documents)) AS columns, CAST(sum(b) AS BIGINT) AS bytes, sha256(concat_ws(' ', count(*), "
     + ", ".join(f"sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT))" for k in range(8))
     + ")) AS digest FROM h",
+    "dataset_round_trip": "SELECT unnest(['parquet', 'jsonl', 'csv', 'arrow', 'npz']) AS interface, (SELECT count(*) FROM orders) AS rows",
     "extract_documents": "SELECT CAST(page_id AS VARCHAR) || '.html' AS path, 'ok' AS status, 'html' AS format, length(html) AS chars FROM pages",
 }

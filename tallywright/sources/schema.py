@@ -166,9 +166,30 @@ PROMOTED = "service_namespace string, service_instance_id string, process_pid bi
 EXCEPTION = "exception_type string, exception_message string, exception_stacktrace string"
 
 
+#: What files of the built-in tables are sorted by (the time column, unless named here) and have Bloom filters for.
+SORTED = {"traces.spans": "start_time_unix_nano", "metrics.points": "time_unix_nano", "logs.records": "time_unix_nano"}
+BLOOM = {
+    "traces.spans": "trace_id",
+    "metrics.points": "metric_name series_id",
+    "logs.records": "trace_id",
+    "drift.observations": "series",
+    "gateway.calls": "call_id",
+    "storage.objects": "storage_path sha256",
+    "system.audit_log": "sub_principal_id act_principal_id request_id resource",
+    "verification.results": "result_id execution_id verifier_card_uid binding_id group_id",
+    "verification.approvals": "approval_id execution_id",
+    "verification.execution_inputs": "execution_id verifier_card_uid binding_id group_id",
+    "verification.execution_outputs": "result_id execution_id",
+    "verification.execution_events": "event_id execution_id verifier_card_uid",
+    "verification.evidence": "evidence_id commit verifier_card_uid",
+}
+
+
 def _table(namespace: str, name: str, columns: str, time: str, part: str = "day", sensitive: tuple[str, ...] = (), shared: bool = True) -> Table:
     schema = ddl(columns + (", " + SHARED if shared else ""))
-    return Table(namespace, name, schema, Layout(time, part), sensitive, built_in=True)
+    full = f"{namespace}.{name}"
+    layout = Layout(time, part, (SORTED.get(full, time),), tuple(BLOOM.get(full, "").split()))
+    return Table(namespace, name, schema, layout, sensitive, built_in=True)
 
 
 BUILT_IN: dict[str, Table] = {
@@ -208,6 +229,7 @@ BUILT_IN: dict[str, Table] = {
             "calls",
             "schema_version int NOT NULL, call_id string NOT NULL, request_id_text string NOT NULL, operation string NOT NULL, ingress_dialect string NOT NULL, requested_model struct<deployment:string,model:string> NOT NULL, resolved_model struct<deployment:string,model:string>, resolved_deployment string, streaming boolean NOT NULL, started_at timestamp NOT NULL, terminal_at timestamp NOT NULL, outcome string NOT NULL, error_code string, attempt_count bigint NOT NULL, usage array<struct<dimension:string,unit:string,quantity:string>>, cost string, currency string, pricing_versions array<string> NOT NULL, capture_policy_version bigint NOT NULL, request_payload variant, response_payload variant, payload_object_refs array<struct<digest:string,content_type:string,size_bytes:bigint>> NOT NULL",
             "started_at",
+            "hour",
             sensitive=("request_payload", "response_payload"),
         ),
         _table("storage", "objects", "storage_path string NOT NULL, upload_id string, backend string NOT NULL, sha256 string, size_bytes bigint NOT NULL, content_type string, sse_marker string, origin string NOT NULL, relative_path string, state string NOT NULL, recorded_at timestamp NOT NULL", "recorded_at"),
@@ -215,6 +237,14 @@ BUILT_IN: dict[str, Table] = {
         _table("verification", "results", "result_id string NOT NULL, execution_id string NOT NULL, execution_status string NOT NULL, verdict string NOT NULL, verifier_version string NOT NULL, verifier_card_uid string NOT NULL, binding_id string, group_id string, trigger_identity string, window_start timestamp, window_end timestamp, started_at timestamp NOT NULL, ended_at timestamp NOT NULL", "ended_at"),
         _table("verification", "approvals", "approval_id string NOT NULL, execution_id string NOT NULL, verifier_card_uid string NOT NULL, decision string NOT NULL, actor_id string NOT NULL, reason string, decided_at timestamp NOT NULL", "decided_at"),
         _table("verification", "execution_inputs", "execution_id string NOT NULL, verifier_card_uid string NOT NULL, binding_id string, group_id string, origin string NOT NULL, queue_execution boolean NOT NULL, inputs variant NOT NULL, activation variant, recorded_at timestamp NOT NULL", "recorded_at", sensitive=("inputs", "activation")),
+        _table("verification", "execution_outputs", "result_id string NOT NULL, execution_id string NOT NULL, ended_at timestamp NOT NULL, output variant NOT NULL", "ended_at", sensitive=("output",)),
+        _table(
+            "verification",
+            "execution_events",
+            "event_id string NOT NULL, execution_id string NOT NULL, sequence bigint NOT NULL, event string NOT NULL, status string, verifier_card_uid string NOT NULL, step_id string, item_index bigint, iteration_index bigint, attempt bigint, publication_name string, publication_kind string, size_bytes bigint, file_count bigint, sha256 string, reason string, value variant, occurred_at timestamp NOT NULL",
+            "occurred_at",
+            sensitive=("value",),
+        ),
         _table("verification", "evidence", "evidence_id string NOT NULL, host string NOT NULL, repository_id string NOT NULL, commit string NOT NULL, input string NOT NULL, verifier_card_uid string NOT NULL, sha256 string NOT NULL, evidence variant NOT NULL, recorded_at timestamp NOT NULL", "recorded_at", sensitive=("evidence",)),
     )
 }

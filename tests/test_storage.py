@@ -233,6 +233,69 @@ def test_datasets(spark, tmp_path):
     assert {k for k, v in got.items() if v[1] == "inconclusive"} == {"c.json", "d.txt", "e.pdf"}
 
 
+def _archive(parts):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_office_files(spark):
+    import json
+
+    from tallywright.sources import office
+
+    w, s, d, p, r = (f'xmlns="{n[1:-1]}"' for n in (office.WORD, office.SHEET, office.DRAW, office.SLIDE, office.LINK))
+    ref = f'xmlns:r="{office.REF[1:-1]}"'
+
+    def rels(**to):
+        return f"<Relationships {r}>" + "".join(f'<Relationship Id="{k}" Type="x/{kind}" Target="{t}"/>' for k, (kind, t) in to.items()) + "</Relationships>"
+
+    wns, dns = f'xmlns:w="{office.WORD[1:-1]}"', f'xmlns:a="{office.DRAW[1:-1]}"'
+    word = f'<w:document {wns}><w:body><w:p><w:pPr><w:pStyle w:val="Title"/></w:pPr><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>wide</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:tcPr><w:vMerge/></w:tcPr><w:p><w:r><w:t>hidden</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+    book = {
+        "xl/workbook.xml": f'<workbook {s} {ref}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": rels(r1=("worksheet", "worksheets/sheet1.xml")),
+        "xl/sharedStrings.xml": f"<sst {s}><si><t>shared</t></si></sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet {s}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1"><f>1+1</f><v>2</v></c><c r="C1" t="b"><v>1</v></c><c r="D1"/></row><row><c r="A2" t="e"><v>#DIV/0!</v></c><c r="B2"><v>45000.5</v></c><c r="C2" t="inlineStr"><is><t>in</t></is></c></row></sheetData></worksheet>',
+    }
+    shape = lambda kind, text: f'<sp><nvSpPr><nvPr><ph type="{kind}"/></nvPr></nvSpPr><txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></txBody></sp>'
+    show = {
+        "ppt/presentation.xml": f'<presentation {p} {ref}><sldIdLst><sldId r:id="r2"/><sldId r:id="r1"/></sldIdLst></presentation>',
+        "ppt/_rels/presentation.xml.rels": rels(r1=("slide", "slides/s1.xml"), r2=("slide", "slides/s2.xml")),
+        "ppt/slides/s1.xml": f"<sld {p} {dns}>{shape('body', 'only')}</sld>",
+        "ppt/slides/s2.xml": f"<sld {p} {dns}>{shape('title', 'Head')}{shape('body', 'text')}<a:tbl><a:tr><a:tc><a:p><a:r><a:t>c</a:t></a:r></a:p></a:tc><a:tc hMerge='1'><a:p/></a:tc></a:tr></a:tbl></sld>",
+        "ppt/slides/_rels/s2.xml.rels": rels(r1=("notesSlide", "../notes/n.xml")),
+        "ppt/notes/n.xml": f"<notes {p} {dns}>{shape('body', 'said')}</notes>",
+    }
+    files = spark.createDataFrame([("a.docx", _archive({"word/document.xml": word})), ("b.xlsx", _archive(book)), ("c.pptx", _archive(show)), ("d.docx", b"no zip"), ("e.xlsx", _archive({"x": "y"})), ("f.docx", _archive({"word/document.xml": "<broken"}))], "path string, content binary")
+    got = {x.path: x for x in datasets.extract(files).collect()}
+    assert json.loads(got["a.docx"].document)["blocks"] == [{"kind": "paragraph", "text": "One\ttwo", "style": "Title"}, {"kind": "paragraph", "text": "", "style": None}, {"kind": "table", "rows": [["wide", ""], ["a", ""]]}]
+    cells = {c["address"]: (c["value"], c["formula"], c["error"]) for c in json.loads(got["b.xlsx"].document)["sheets"][0]["cells"]}
+    assert cells == {"A1": ("shared", None, None), "B1": (2, "1+1", None), "C1": (True, None, None), "A2": (None, None, "#DIV/0!"), "B2": (45000.5, None, None), "C2": ("in", None, None)}
+    one, two = json.loads(got["c.pptx"].document)["slides"]
+    assert (one["title"], one["paragraphs"], one["tables"], one["notes"]) == ("Head", ["text"], [{"rows": [["c", ""]]}], "said") and (two["number"], two["title"], two["paragraphs"], two["notes"]) == (2, None, ["only"], "")
+    assert all(got[k].status == "inconclusive" and got[k].reason for k in ("d.docx", "e.xlsx", "f.docx"))
+
+
+def test_array_files(spark, tmp_path):
+    df = spark.range(50).select("id", (F.col("id") / 4).alias("x")).repartition(3)
+    for kind in ("arrow", "npz"):
+        datasets.save(df, str(tmp_path / kind), kind)
+        datasets.save(df, str(tmp_path / kind), kind)
+        assert datasets.stats(datasets.open_dataset(spark, str(tmp_path / kind), kind, df.schema)).first() == datasets.stats(df).first()
+    datasets.save(df.select("x"), str(tmp_path / "npy"), "npy")
+    assert datasets.open_dataset(spark, str(tmp_path / "npy"), "npy", "x double").agg(F.sum("x")).first()[0] == df.agg(F.sum("x")).first()[0]
+    with pytest.raises(ValueError):
+        datasets.save(df, str(tmp_path / "bad"), "npy")
+    twice = df.unionByName(df)
+    assert datasets.stats(twice).first()["digest"] != datasets.stats(df.limit(0)).first()["digest"] != datasets.stats(df).first()["digest"]
+
+
 def test_streams(spark, store, tmp_path):
     w, t = store
     src = tmp_path / "in"
