@@ -1,5 +1,6 @@
 """Operators 4, 7, 8 and 10: against brute force, held-out accuracy and odd rows."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -139,6 +140,64 @@ def brute_license(t):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def brute_spans(texts):
+    """All template spans of every text, by trying every start."""
+    words = [helpers.ALNUM.findall((t or "").translate(helpers.LOW)) for t in texts]
+    forms = licenses.templates()
+    df = Counter(w for ws in words for w in set(ws))
+    weigh = {w: math.log((len(texts) + 1) / (df[w] + 1)) + 1 for t in forms for w in t.words}
+    out = []
+    for ws in words:
+        found = []
+        for t in forms:
+            total, after = sum(weigh[w] for w in t.words), None
+            for start in range(-len(t.words), len(ws)):
+                if after is not None and start <= after:
+                    continue
+                shifts, shift = [], 0
+                for k, (a, n) in enumerate(t.phrases):
+                    places = [shift] if k == 0 else [shift + d for d in sorted(range(-licenses.SLACK, licenses.SLACK + 1), key=abs)]
+                    hit = [x for x in places if start + a + x >= 0 and tuple(ws[start + a + x : start + a + x + n]) == t.words[a : a + n]]
+                    if not hit:
+                        break
+                    # words before the first phrase go with it, others with the phrase before them
+                    shift = hit[0]
+                    shifts.append((a, shift))
+                else:
+                    cover = 0.0
+                    for k, w in enumerate(t.words):
+                        own = [x for a, x in shifts if a <= k]
+                        at = start + k + (own[-1] if own else 0)
+                        if 0 <= at < len(ws) and ws[at] == w:
+                            cover += weigh[w]
+                    if cover / total >= licenses.MIN_COVER:
+                        found.append((t.label, start, len(t.words), round(cover / total, 6)))
+                        after = start + licenses.SLACK
+        out.append(sorted(found))
+    return out
+
+
+def test_license_spans_against_brute_force(spark):
+    r = random.Random(12)
+    full = [" ".join(t).replace("[", "").replace("]", "") for t in licenses.TEMPLATES.values()]
+    rows = []
+    for i in range(60):
+        w = r.choice(full).split()
+        for _ in range(r.randrange(5)):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(2)] = [r.choice(["software", "license", "odd", "the"])]
+        w = w[: r.randrange(1, len(w) + 1)] if i % 2 else w[r.randrange(len(w)) :]
+        rows.append((i, " ".join([*helpers.words(i, r.randrange(20), 50), *w, *r.choice(full).split()[:20]])))
+    every = [*rows, *helpers.odd_rows()]
+    want = Counter((i, tuple(s)) for (i, _), s in zip(every, brute_spans([t for _, t in every])))
+    got = licenses.license_scan(helpers.documents(spark, every)).collect()
+    found = Counter((g.doc_id, tuple(sorted((s.label, s.start, s.words, round(s.cover, 6)) for s in g.spans))) for g in got)
+    assert found == want
+    assert len({label for _, spans in want for label, *_ in spans}) > 12
+    for g in got:
+        assert set(filter(None, g.labels.split(","))) == {s.label for s in g.spans} | set(filter(None, g.base_labels.split(",")))
+
+
 def test_license_scan(spark):
     notices = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0. All rights reserved. All rights reserved.", "general public  license CC-BY", "the mit approach", "General Public Library license"]
     rows = [(i, " ".join(helpers.words(i, 30)) + "\n" + n + "\n" + " ".join(helpers.words(i + 50, 30))) for i, n in enumerate(notices)]
