@@ -47,6 +47,16 @@ STATEMENTS: dict[str, tuple[str, list, str]] = {
         [],
         "SELECT event_id, make_timestamp(event_id * 1000003) AS a, make_timestamp(CAST(floor((event_id * 1000 - 500001) / 1000.0) AS BIGINT)) AS b, epoch_us(ts) AS us, event_id AS n FROM events",
     ),
+    "integer_quotients": (
+        f"SELECT e.event_id, e.event_id / 7 AS q, 3 * event_id / (user_id + 1) AS r, value / 2 AS half, -event_id / 7 AS s, event_id % 7 / 2 AS t FROM {EVENTS} e",
+        [],
+        "SELECT event_id, event_id // 7 AS q, 3 * event_id // (user_id + 1) AS r, value / 2 AS half, -(event_id // 7) AS s, event_id % 7 // 2 AS t FROM events",
+    ),
+    "integer_means": (
+        f"SELECT user_id, sum(event_id) / count(*) AS m FROM {EVENTS} GROUP BY user_id",
+        [],
+        "SELECT user_id, CAST(sum(event_id) // count(*) AS BIGINT) AS m FROM events GROUP BY user_id",
+    ),
     "raw_instant_bounds": (
         f"SELECT user_id, CAST(max(ts) AS BIGINT) - CAST(min(ts) AS BIGINT) AS width FROM {EVENTS} GROUP BY user_id",
         [],
