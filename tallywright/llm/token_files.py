@@ -12,7 +12,8 @@ by one task (files of at most ``FILE_BYTES`` of payload plus one document),
 under a temporary name and then moved, so a lost executor's retry replaces it.
 
 Defined results: null texts are empty (the end id only); null doc_ids come
-first; rows with equal doc_id are ordered by the checksum of their ids, and a
+first, in the order of the checksums of their ids, which deal them to as many
+shards as they need; rows with equal doc_id are ordered by the checksum of their ids, and a
 doc_id that fills several ranges is spread over them; an empty table writes no
 file; other columns are ignored whatever their names.
 """
@@ -133,11 +134,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, vocabulary:
     """Write every row's ids in ascending doc_id order; returns (path, documents, ids) of the files in order."""
     bits = bits_for(max(vocabulary, tokens.END_ID + 1))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = src.count()
-    if not rows:
+    size = src.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
+    if not size["rows"]:
         return []
-    shards = max(1, min(MAX_SHARDS, math.ceil(rows / shard_rows)))
-    bounds = range_bounds(src, "doc_id", shards)
+    ranges = max(1, min(MAX_SHARDS, math.ceil(size["named"] / shard_rows)))
+    unnamed = min(MAX_SHARDS, math.ceil((size["rows"] - size["named"]) / shard_rows))
+    shards = unnamed + ranges
+    bounds = range_bounds(src, "doc_id", ranges)
 
     def tokenise(b: pa.RecordBatch):
         enc = tokens.encoder(tokenizer, added=True)
@@ -148,7 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, vocabulary:
             crc = np.array([zlib.crc32(ids[offs[k] : offs[k + 1]].tobytes()) for k in range(len(part))], np.int64)
             lo, hi = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
             shard = lo + (tb.mix(crc.astype(np.uint64) + np.arange(len(crc), dtype=np.uint64)) % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
-            shard[np.asarray(doc.is_null())] = 0
+            shard = np.where(np.asarray(doc.is_null()), crc * unnamed >> 32, unnamed + shard)
             data = [pack(ids[offs[k] : offs[k + 1]], bits) for k in range(len(part))]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), doc, pa.array(crc), pa.array(np.diff(offs)), pa.array(data, pa.binary())], ["shard", "doc_id", "crc", "n", "data"])
 

@@ -7,6 +7,10 @@ of an Arrow batch goes through the library once, and the ids are gathered by
 numpy.  A text whose pieces could interact (runs of spaces, other white space
 at a piece's edge, NUL) goes through the library whole.
 
+A piece that is one word of ASCII or Latin-1 letters needs no splitting: it
+goes straight to the library's BPE model.  An encoder does so only if the
+library's whole path gives the same ids for a list of probes.
+
 The operators take the library as it is: the content of an added token
 (``<|endoftext|>``) inside a text is that token's one id, and such a text goes
 through the library whole.  ``encoder(path)`` without ``added`` splits it into
@@ -16,6 +20,7 @@ ordinary pieces instead.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -39,6 +44,17 @@ PUNCT = tb.byte_class((33, 47), (58, 64), (91, 96), (123, 126))
 SOLID = tb.byte_class((33, 126))
 
 
+WORD = re.compile(" ?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+PROBES = "a word Word É Été naïve ß straße Ünter øre".split() + [" a", " word", " Été", " straße", " strasse", " internationalisation", " Qzxj"]
+
+
+def byte_letters() -> dict[int, int]:
+    """The printable character that byte-level models have for each byte: itself, or one from 256 on in byte order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+
 def marked(arr: pa.Array) -> pa.Array:
     """The texts with MARK at places that no token spans.
 
@@ -76,7 +92,17 @@ class Encoder:
         self.tok.encode_special_tokens = not added
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added else []
         self.drops_space = self.tok.normalizer is not None
+        self.bpe, self.letters = self.tok.model, byte_letters()
         self._empty()
+        self.direct = False
+        words = [p for p in PROBES if WORD.fullmatch(p)]
+        self.direct = [self._word(p) for p in words] == [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _word(self, piece: str) -> list[int]:
+        """The ids of one word of letters, with a space before it perhaps."""
+        if self.drops_space:
+            piece = piece.lstrip(" ").lower()
+        return [t.id for t in self.bpe.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
@@ -88,6 +114,16 @@ class Encoder:
             self._empty()
         known, flat, ends = self.known, self.flat, self.ends
         new = [p for p in pieces if p not in known]
+        if self.direct:
+            rest = []
+            for p in new:
+                if not WORD.fullmatch(p):
+                    rest.append(p)
+                    continue
+                known[p] = len(ends) - 1
+                flat.extend(self._word(p))
+                ends.append(len(flat))
+            new = rest
         for a in range(0, len(new), 5000):
             part = new[a : a + 5000]
             for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
@@ -142,7 +178,7 @@ def encoder(path: str, added: bool = False) -> Encoder:
     return _loaded[path, added]
 
 
-def slices(column: pa.Array, size: int = 6 << 20):
+def slices(column: pa.Array, size: int = 4 << 20):
     """(first row, sub-array) pieces of about ``size`` bytes of text."""
     lengths = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
     cum = np.cumsum(lengths)

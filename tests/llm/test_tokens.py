@@ -78,6 +78,32 @@ def test_token_files(spark):
     assert token_files.write_token_files(helpers.documents(spark, rows).limit(0), public_tokenizers.path(FILES[1]), folder, 49_408) == []
 
 
+def test_many_rows_without_an_id(spark):
+    """They fill several shards, first of all, in the order of their checksums."""
+    rows = [(None, " ".join(helpers.words(i, 5 + i % 40))) for i in range(150)] + [(i, "a b c") for i in range(40)]
+    t = library(FILES[1])
+    files = token_files.write_token_files(helpers.documents(spark, rows).repartition(5), public_tokenizers.path(FILES[1]), frames.new_folder(spark, "tokens"), 49_408, shard_rows=20)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, files).collect())
+    ids = [(i, [*t.encode(x, add_special_tokens=False).ids, 2]) for i, x in rows]
+    want = sorted(((i, crc(x), len(x)) for i, x in ids), key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[2]))
+    start = 0
+    for g, (i, c, n) in zip(got, want, strict=True):
+        assert g == (start, i, n, c)
+        start += n
+    assert len(files) > 8
+
+
+def test_words_that_go_straight_to_the_model():
+    words = [" über", "Straße", " ÀÉÎÕÜ", "naïve", "ſ", " x", "É", "Ångström", " ÿ", "ſtop", "don", " ªº", "WORD"]
+    for name in FILES:
+        t = library(name)
+        enc = tokens.Encoder(public_tokenizers.path(name), added=True)
+        assert enc.direct
+        ids, offs = enc.encode(pa.array([" ".join(words), *words, "l'été d'Émile", "A\nB"]))
+        for k, text in enumerate([" ".join(words), *words, "l'été d'Émile", "A\nB"]):
+            assert ids[offs[k] : offs[k + 1]].tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
 def check_packing(rows, got, capacity):
     t = library(FILES[0])
     want = defaultdict(int)
