@@ -8,7 +8,8 @@ few bins any packing needs.  Partitions that meet their bound are certified
 and stay as they are; those with a gap keep their full bins and send the
 documents of their other bins to be dealt anew with those of the other gapped
 partitions, which are packed again, until none has a gap or one partition
-holds all that is left.
+holds all that is left, or for ``MAX_ROUNDS`` rounds; ``certificate`` tells
+how far the result is from the bound over all pieces.
 
 Defined results: a null or empty text is one piece of the end id; rows with
 equal doc_id are packed each; ties of length go by row key; a null doc_id
@@ -170,7 +171,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTI
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of all rows with their sequence and offset (and ``extra`` columns)."""
     spark = docs.sparkSession
-    table = frames.written(pieces(docs, tokenizer, capacity, extra), frames.new_folder(spark, "pieces")).withColumn("key", F.monotonically_increasing_id())
+    # the key is stored with the pieces: numbered again for each scan, it could change with the scan's splits
+    table = frames.written(pieces(docs, tokenizer, capacity, extra).withColumn("key", F.monotonically_increasing_id()), frames.new_folder(spark, "pieces"))
     full = table.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("key"), "offset": F.lit(0).cast("long")})
     rest = table.where(F.col("length") < capacity)
     placed = pack(rest.select("key", "length"), capacity, partition_rows)
