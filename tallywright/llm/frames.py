@@ -23,9 +23,11 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node sees: spark.checkpoint.dir, else (single machine only) a temporary one."""
+    """The folder every node sees: spark.checkpoint.dir; on a single machine, where it is unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that every node sees")
         app = spark.sparkContext.applicationId
         if app not in _own_dir:
             _own_dir[app] = f"file://{tempfile.mkdtemp(prefix='tallywright-')}"

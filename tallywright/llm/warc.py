@@ -36,8 +36,8 @@ from tallywright.llm import frames
 REVISIT_BYTES = 1000
 #: Uncompressed bytes after which an archive is closed.
 FILE_BYTES = 64 << 20
-#: Groups of equal payloads that are broadcast, at most (about 100 bytes each); more are joined by shuffle.
-BROADCAST_GROUPS = 100_000
+#: Bits of the map of payload digests that several rows have (1 MB).
+BITMAP = 1 << 23
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -90,10 +90,11 @@ def with_types(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
     groups = frames.checkpointed(revisits(rows, least))
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
-    joined = rows.join(groups, "digest", "left")
+    # payloads are shuffled only for rows that may repeat one
+    some, rest = frames.bitmap_split(rows, "digest", groups, BITMAP)
     refers = F.when(F.col("keeper").isNotNull() & (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    names = ["page_id", "url", "html", "digest"]
+    return some.join(groups, "digest", "left").select(*names, refers.alias("refers_to")).unionByName(rest.select(*names, F.lit(None).cast("long").alias("refers_to")))
 
 
 def write_monolithic(typed: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> list[str]:
