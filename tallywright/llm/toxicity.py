@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 4).
 
 Words of a clause become symbols (insult, threat, target, negation, reported
-speech, other); five small transducers for those notions are composed into
-one machine, which reads the clause once and puts out weights.  An insult
-counts less within the scope of a negation or of reported speech and more
-with a target; a threat counts only with a target.  A document's score is a
-calibrated logistic function of its matched clauses, not of isolated words.
+speech, other).  Five weighted transducers are composed, each reading what the
+one before it puts out: reported speech and negation weaken insults and
+threats in their scope, the threat transducer turns a threat that has a target
+into a strike, the target transducer tells insults at a target from others,
+and the insult transducer accepts the matches.  All weights stand on arcs; a
+path's weight for a symbol is the product of its arcs, a clause's weight the
+sum over the matches it puts out.  A document's score is a calibrated logistic
+function of its matched clauses, not of isolated words.
 
 The insult symbols are a short fixed list plus word beginnings (3 to 8 code
 points) and whole words learned from labelled rows that are not held out: a
@@ -24,7 +27,8 @@ names.  Labels, lang, source and doc_id are not inputs of a score.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,8 @@ from tallywright.llm.linear import fit_linear, platt, sigmoid
 THRESHOLD = 0.7
 #: Labelled rows (smallest hashes of doc_id) that lexicon and calibration are fitted on, at most.
 TRAIN_ROWS = 20_000
-#: Learned patterns, at most; those with the most evidence.
-MAX_PATTERNS = 5_000
+#: A learned pattern's strength is half its log odds, within these bounds.
+LEAST_STRENGTH, MOST_STRENGTH = 0.5, 6.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WHOLE = 0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -53,74 +57,99 @@ SEED_REPORTED = "said says say saying quoted quote quotes claimed called reporte
 
 
 # --- transducers ---------------------------------------------------------
-@dataclass(frozen=True)
-class Transducer:
-    """Deterministic: (state, symbol) -> (state, output); a missing arc keeps the state with output 0."""
+#: Symbols between transducers: a weakened threat, an insult without and with a target, a target that comes after an insult, a threat with its target.
+WEAK, HIT, AIMED, AIM, STRIKE, WEAK_STRIKE, MATCH = "weak threat", "hit", "aimed", "aim", "strike", "weak strike", "match"
+NEGATED, REPORTED, WEAKENED = 0.3, 0.5, 0.4
+TARGETED, THREATENED = 2.0, 2.5
+NEGATION_SCOPE, REPORT_SCOPE = 3, 8
 
-    start: int
-    arcs: dict
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        return self.arcs.get((state, symbol), (self.arcs.get((state, "*"), (state, 0.0))))
+class Transducer:
+    """Deterministic: (state, symbol) -> (state, output symbol, weight).
 
+    A missing arc falls back to the state's ``*`` arc, which puts the symbol
+    out as it is (or its own output, if it names one), and then to staying.
+    """
 
-def scope(trigger: str, length: int) -> Transducer:
-    """Puts out 1 for each symbol within ``length`` symbols after a trigger."""
-    arcs = {(0, "*"): (0, 0.0)}
-    for k in range(length + 1):
-        arcs[(k, trigger)] = (length, 0.0)
-        if k:
-            arcs[(k, "*")] = (k - 1, 1.0)
-    return Transducer(0, arcs)
+    def __init__(self, start, arcs: dict):
+        self.start, self.arcs = start, arcs
 
+    def step(self, state, symbol: str) -> tuple:
+        found = self.arcs.get((state, symbol))
+        if found is None:
+            state, out, weight = self.arcs.get((state, "*"), (state, None, 1.0))
+            return state, symbol if out is None else out, weight
+        return found
 
-def seen(symbol: str) -> Transducer:
-    """Puts out 1 from the first such symbol on."""
-    return Transducer(0, {(0, symbol): (1, 1.0), (1, "*"): (1, 1.0), (1, symbol): (1, 1.0)})
 
+class Composed(Transducer):
+    """The second transducer reads the first one's output; states are pairs, arcs are built as they are reached."""
 
-def emit(symbol: str) -> Transducer:
-    return Transducer(0, {(0, symbol): (0, 1.0)})
+    def __init__(self, first: Transducer, second: Transducer):
+        super().__init__((first.start, second.start), {})
+        self.first, self.second = first, second
 
+    def step(self, state, symbol: str) -> tuple:
+        found = self.arcs.get((state, symbol))
+        if found is None:
+            a, middle, x = self.first.step(state[0], symbol)
+            b, out, y = self.second.step(state[1], middle)
+            found = self.arcs[state, symbol] = ((a, b), out, x * y)
+        return found
 
-@dataclass
-class Machine:
-    """The composition: a product state for each combination of the parts' states, built as it is reached."""
 
-    parts: tuple[Transducer, ...]
-    table: dict = field(default_factory=dict)
+def scope(trigger: str, length: int, insult: float) -> Transducer:
+    """Within ``length`` symbols after a trigger insults weigh less and threats are weak; the state counts down."""
+    arcs: dict = {}
+    for k in range(length + 1):
+        arcs[k, trigger] = (length, trigger, 1.0)
+        arcs[k, "*"] = (max(0, k - 1), None, 1.0)
+        if k:
+            arcs[k, INS] = (k - 1, INS, insult)
+            arcs[k, THR] = (k - 1, WEAK, 1.0)
+    return Transducer(0, arcs)
 
-    def step(self, state: tuple[int, ...], symbol: str):
-        key = (state, symbol)
-        if key not in self.table:
-            moves = [t.step(s, symbol) for t, s in zip(self.parts, state)]
-            self.table[key] = (tuple(m[0] for m in moves), tuple(m[1] for m in moves))
-        return self.table[key]
 
-    @property
-    def start(self) -> tuple[int, ...]:
-        return tuple(t.start for t in self.parts)
+def threat() -> Transducer:
+    """A threat and a target, in any order, are a strike where the second of them stands; the state is what has been seen."""
+    arcs: dict = {}
+    for pending, strike in (("", None), (THR, STRIKE), (WEAK, WEAK_STRIKE)):
+        arcs[(False, pending), TGT] = ((True, ""), strike or TGT, 1.0)
+        arcs[(False, pending), THR] = ((False, THR), OTH, 1.0)
+        arcs[(False, pending), WEAK] = ((False, pending or WEAK), OTH, 1.0)
+    arcs[(True, ""), THR] = ((True, ""), STRIKE, 1.0)
+    arcs[(True, ""), WEAK] = ((True, ""), WEAK_STRIKE, 1.0)
+    return Transducer((False, ""), arcs)
+
+
+def target() -> Transducer:
+    """Insults after a target are aimed; a target after an insult is an aim.  States: 0 neither, 1 an insult, 2 a target."""
+    arcs: dict = {(0, INS): (1, HIT, 1.0), (1, INS): (1, HIT, 1.0), (2, INS): (2, AIMED, 1.0), (0, TGT): (2, OTH, 1.0), (1, TGT): (2, AIM, 1.0), (2, TGT): (2, OTH, 1.0)}
+    for k in (0, 1, 2):
+        for x in (STRIKE, WEAK_STRIKE):
+            arcs[k, x] = (2, x, 1.0)
+    return Transducer(0, arcs)
 
 
-def grammar() -> Machine:
-    """insult o threat o target o negation (3 words) o reported speech (8 words)."""
-    return Machine((emit(INS), emit(THR), seen(TGT), scope(NEG, 3), scope(REP, 8)))
+def insult() -> Transducer:
+    """Accepts the matches, with their weights; everything else puts out nothing."""
+    out = {HIT: 1.0, AIMED: TARGETED, AIM: 1.0, STRIKE: THREATENED, WEAK_STRIKE: THREATENED * WEAKENED}
+    return Transducer(0, {(0, "*"): (0, "", 0.0), **{(0, k): (0, MATCH, w) for k, w in out.items()}})
 
 
-NEGATED, REPORTED, TARGETED, THREAT = 0.3, 0.5, 1.0, 2.5
+def grammar() -> Transducer:
+    """reported speech o negation o threat o target o insult."""
+    return reduce(Composed, (scope(REP, REPORT_SCOPE, REPORTED), scope(NEG, NEGATION_SCOPE, NEGATED), threat(), target(), insult()))
 
 
-def clause_score(machine: Machine, symbols: list[tuple[str, float]]) -> float:
-    """The weight of one clause; 0 if nothing matches."""
-    state = machine.start
-    insult = threat = targeted = 0.0
-    for symbol, weight in symbols:
-        state, (ins, thr, tgt, neg, rep) = machine.step(state, symbol)
-        factor = (NEGATED if neg else 1.0) * (REPORTED if rep else 1.0)
-        insult += ins * weight * factor
-        threat += thr * factor
-        targeted = max(targeted, tgt)
-    return insult + (TARGETED * insult / (1 + insult) if targeted else 0.0) + (THREAT * threat if targeted else 0.0)
+def clause_score(machine: Transducer, symbols: list[tuple[str, float]]) -> float:
+    """The weight of one clause: of each match the arcs' weight times the symbol's own (an insult's strength, else 1); 0 if nothing matches."""
+    state, total = machine.start, 0.0
+    for symbol, strength in symbols:
+        state, out, weight = machine.step(state, symbol)
+        if out:
+            total += weight * (strength if symbol == INS else 1.0)
+    return total
 
 
 # --- symbols of words ----------------------------------------------------
@@ -284,7 +313,8 @@ def learn_insults(rows: DataFrame) -> dict[int, dict[int, float]]:
     least = {k: max(3, math.ceil(math.log(max(c, 2)) / -math.log(rate))) for k, c in kinds.items()}
     need = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
     cand = per.where((F.col("t") >= need[F.col("length")]) & (F.col("o") <= 0.02 * F.col("t")))
-    cand = cand.orderBy(F.desc("t"), "length", "h").limit(20 * MAX_PATTERNS).collect()
+    # bounded by the sample: each candidate stands in three of its toxic rows or more
+    cand = cand.collect()
     if not cand:
         return {}
     tables = {k: Lookup({r["h"] & (2**64 - 1): 1.0 for r in cand if r["length"] == k}) for k in kinds}
@@ -310,7 +340,7 @@ def learn_insults(rows: DataFrame) -> dict[int, dict[int, float]]:
         evidence = min(r["t"], ctx.get((r["length"], r["h"]), 0))
         if evidence >= least[r["length"]]:
             odds = math.log((evidence + 0.5) / (n[1] + 1)) - math.log((r["o"] + 0.5) / (n[0] + 1))
-            out.setdefault(r["length"], {})[r["h"] & (2**64 - 1)] = float(min(3.0, max(0.5, odds / 2)))
+            out.setdefault(r["length"], {})[r["h"] & (2**64 - 1)] = float(min(MOST_STRENGTH, max(LEAST_STRENGTH, odds / 2)))
     return out
 
 

@@ -106,6 +106,28 @@ def test_clause_grammar():
     assert score(N, O, O, O, I) == score(I)
     assert score(H) == 0 and score(H, T) > 0 and score(T, N, H) < score(T, H)
     assert score(O, T, N) == 0
+    # arc weights: an aimed insult counts double, negated and reported ones in their shares, also together
+    assert score(I) == 2 and score(T, I) == 4 and score(N, I) == 0.6 and score(R, O, N, I) == pytest.approx(2 * 0.5 * 0.3)
+    assert score(H, T) == score(T, H) == 2.5 and score(N, H, T) == score(T, N, H) == pytest.approx(2.5 * 0.4)
+    assert score(I, T) == 3 and score(H, T, I) == 2.5 + 4 and score(R, *[O] * 8, I) == score(I)
+
+
+def test_each_transducer_reads_the_one_before():
+    """Running the five in a chain by hand gives what the composition gives, on all short clauses."""
+    import itertools
+
+    parts = [toxicity.scope(toxicity.REP, 8, 0.5), toxicity.scope(toxicity.NEG, 3, 0.3), toxicity.threat(), toxicity.target(), toxicity.insult()]
+    machine = toxicity.grammar()
+    kinds = (toxicity.INS, toxicity.THR, toxicity.TGT, toxicity.NEG, toxicity.REP, toxicity.OTH)
+    for clause in itertools.product(kinds, repeat=5):
+        states, want = [p.start for p in parts], 0.0
+        for symbol in clause:
+            x, weight = symbol, 1.0
+            for k, p in enumerate(parts):
+                states[k], x, w = p.step(states[k], x)
+                weight *= w
+            want += weight * (1.5 if symbol == toxicity.INS else 1.0) if x else 0.0
+        assert toxicity.clause_score(machine, [(s, 1.5) for s in clause]) == pytest.approx(want)
 
 
 def test_language_id(spark):
