@@ -45,3 +45,15 @@ def test_repeated_ids_are_dropped_by_row(spark):
     got = Counter((x.doc_id, x.text) for x in corpus_pipeline.near_duplicate_stage(spark, helpers.documents(spark, rows).repartition(3), "").collect())
     assert got[1, one] == got[7, clean] == got[8, ""] == got[8, None] == 1
     assert sum(n for (i, _), n in got.items() if i == 3) == 1 and sum(got.values()) == 5
+
+
+def test_first_documents_keep_all_columns(spark):
+    """Columns called like the operator's own stay as they are; empty tables stay empty."""
+    r = random.Random(8)
+    base = helpers.words(31, 100, 3000)
+    rows = [(4, near(base, r, 1)), (2, " ".join(base)), (9, near(base, r, 2)), (None, " ".join(base)), (6, " ".join(helpers.words(32, 90, 3000))), (6, " ".join(helpers.words(32, 90, 3000)))]
+    docs = helpers.documents(spark, rows).withColumnRenamed("lang", "comp").withColumnRenamed("source", "word")
+    got = jaccard_join.first_documents(docs)
+    assert got.columns == docs.columns
+    assert Counter((x.doc_id, x.node, x.kept) for x in got.collect()) == Counter([(2, "x", 7), (None, "x", 7), (6, "x", 7)])
+    assert jaccard_join.first_documents(docs.limit(0)).count() == 0
