@@ -60,7 +60,7 @@ def release(spark: SparkSession) -> None:
     The cleaner acts when the JVM collects its garbage, which an idle driver
     puts off; large intermediate shuffles would stay on the executors' disks.
     """
-    gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -70,15 +70,20 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def trim() -> None:
+    """Give freed memory of this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass batches on; at the task's end give freed memory back, as a reused worker would keep it."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str) -> DataFrame:

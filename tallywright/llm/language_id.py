@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm import frames, textbatch as tb
-from tallywright.llm.linear import Ngrams, calibration_split, fit_linear, platt, sigmoid
+from tallywright.llm.linear import Ngrams, calibration_split, fit_linear, platt, sigmoid, stacked
 
 FEATURES = Ngrams(chars=(1, 2, 3), slots=4096)
 #: Training rows for each language, at most.
 ROWS_PER_LANGUAGE = 800
-SALTS = 16
+SALTS = 64
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 #: ISO 639-1 codes by family; a code not listed is a family of its own.
 FAMILIES = {
@@ -115,14 +115,16 @@ def _machine(x: np.ndarray, y: np.ndarray, cal: np.ndarray) -> Machine:
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Learn from rows that are not held out; of each language the rows with the smallest hashes of doc_id.
 
-    The choice ranks within (language, salt), so a language with most rows is
-    spread over ``SALTS`` tasks that see ids and languages only.
+    The choice ranks within (language, salt) first, so a language with most rows
+    is spread over ``SALTS`` tasks that see ids and languages only, and then
+    among what is left of each language, ``SALTS`` times its rows at most.
     """
     ids = docs.where(~frames.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
     key = F.xxhash64("doc_id")
-    w = Window.partitionBy("lang", "salt").orderBy("key", "doc_id")
+    some, own = (Window.partitionBy(*by).orderBy("key", "doc_id") for by in (("lang", "salt"), ("lang",)))
     chosen = ids.dropDuplicates(["doc_id", "lang"]).withColumn("key", key).withColumn("salt", F.pmod(key, F.lit(SALTS)))
-    chosen = chosen.withColumn("r", F.row_number().over(w)).where(F.col("r") <= -(-rows_per_language // SALTS)).select("doc_id", F.col("lang").alias("y"))
+    chosen = chosen.withColumn("r", F.row_number().over(some)).where(F.col("r") <= rows_per_language)
+    chosen = chosen.withColumn("r", F.row_number().over(own)).where(F.col("r") <= rows_per_language).select("doc_id", F.col("lang").alias("y"))
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where(F.col("lang") == F.col("y")).select("doc_id", "text", "lang")
 
     def features(b: pa.RecordBatch):
@@ -130,12 +132,13 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Language
             k = len(x)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k), b.column(2).slice(first, k), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    got = frames.map_arrow(rows, features, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    got = frames.map_arrow(rows, features, "doc_id long, lang string, x binary").toArrow()
     if not got.num_rows:
         return LanguageModel()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(got.num_rows, FEATURES.dim).astype(np.float32)
-    lang = np.array(got["lang"].to_pylist(), object)
-    cal = calibration_split(np.array(got["doc_id"].to_pylist(), np.int64))
+    ids, lang = got["doc_id"].to_numpy(), np.array(got["lang"].to_pylist(), object)
+    order = np.lexsort((lang.astype(str), ids))
+    x, lang, cal = stacked(got["x"], FEATURES.dim, order), lang[order], calibration_split(ids[order])
+    del got
     model = LanguageModel()
     for code in sorted(set(lang)):
         model.members.setdefault(family_of(code), []).append(code)
@@ -147,6 +150,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Language
         for a, b in combinations(langs, 2):
             at = (lang == a) | (lang == b)
             model.pair[a, b] = _machine(x[at], (lang[at] == a).astype(int), cal[at])
+    del x
+    frames.release(docs.sparkSession)
     return model
 
 

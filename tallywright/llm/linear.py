@@ -71,6 +71,23 @@ class Ngrams:
                 yield part.first, self.matrix(part)
 
 
+def stacked(column: pa.ChunkedArray, dim: int, order: np.ndarray) -> np.ndarray:
+    """Rows of float16 bytes as one float32 matrix, in the given order of rows; nothing else is copied."""
+    out = np.empty((len(order), dim), np.float32)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    a = 0
+    for part in column.chunks:
+        if not len(part):
+            continue
+        _, offs, data = part.buffers()
+        first = int(np.frombuffer(offs, np.int32)[part.offset])
+        rows = np.frombuffer(data, np.float16, len(part) * dim, first).reshape(-1, dim)
+        out[place[a : a + len(part)]] = rows
+        a += len(part)
+    return out
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
@@ -80,7 +97,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, loss: str = "log", l2: float = 1e-4
 
     ``y`` holds 0/1.  Deterministic: no random order, start at zero.
     """
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     sign = np.where(y > 0, 1.0, -1.0).astype(np.float32)
     wt = np.ones(len(y), np.float32) if weight is None else weight.astype(np.float32)
     wt = wt / max(wt.sum(), 1e-9)

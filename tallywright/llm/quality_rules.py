@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm import frames, textbatch as tb
-from tallywright.llm.linear import Ngrams, calibration_split, fit_linear, platt, sigmoid
+from tallywright.llm.linear import Ngrams, calibration_split, fit_linear, platt, sigmoid, stacked
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -90,7 +90,7 @@ def rule_counts(ch: tb.Chunk) -> dict[str, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> QualityModel:
-    """Fit on at most ``max_rows`` labelled rows (those with the smallest hash of doc_id), label column ``quality``."""
+    """Fit on at most ``max_rows`` labelled rows (those with the smallest hash of doc_id), label column ``quality``; of rows with one doc_id that with the smallest features."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -101,18 +101,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Quali
             k = len(x)
             yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + k], pa.int64()), pa.array(y[first : first + k], pa.int32()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    got = frames.map_arrow(rows, features, "doc_id long, y int, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    y = np.array(got["y"].to_pylist(), np.int64)
+    got = frames.map_arrow(rows, features, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow()
+    ids, y = (got[c].to_numpy().astype(np.int64) for c in ("doc_id", "y"))
     if len(set(y.tolist())) < 2:
         return QualityModel(None)
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(len(y), FEATURES.dim).astype(np.float32)
-    cal = calibration_split(np.array(got["doc_id"].to_pylist(), np.int64))
+    cal = calibration_split(ids)
     if len(set(y[cal].tolist())) < 2 or len(set(y[~cal].tolist())) < 2:
         cal[:] = False
-    w, b = fit_linear(x[~cal], y[~cal], "log", 1e-5, 400)
-    on = cal if cal.any() else ~cal
-    slope, offset = platt(x[on] @ w + b, y[on])
-    return QualityModel(w, b, slope, offset)
+    # one matrix, training rows first: the driver holds nothing twice
+    order = np.lexsort((ids, cal))
+    x, y, k = stacked(got["x"], FEATURES.dim, order), y[order], int((~cal).sum())
+    del got
+    w, b = fit_linear(x[:k], y[:k], "log", 1e-5, 400)
+    on = slice(k, None) if k < len(y) else slice(None)
+    model = QualityModel(w, b, *platt(x[on] @ w + b, y[on]))
+    del x
+    frames.release(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, extra: tuple[str, ...] = ()) -> DataFrame:

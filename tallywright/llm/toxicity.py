@@ -366,6 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxic
     w, b = fit_linear(x, (y > 0).astype(int), "log", 1e-4, 800)
     w = np.maximum(w, 0) if (w > 0).any() else np.ones(4, np.float32)  # more matches never lower a score
     slope, offset = platt(x @ w + b, y)
+    frames.release(docs.sparkSession)
     return ToxicityModel(insults, tuple(float(v) for v in w), b, slope, offset)
 
 
