@@ -33,6 +33,8 @@ MAX_PARTITIONS = 32
 MAX_NESTING = 8
 MAX_REQUEST_BYTES = 16 << 20
 SMALL_FILES = 2
+#: Rows and stored bytes that one task of a commit sorts and writes, about; larger batches get more tasks.
+RANGE_ROWS, RANGE_BYTES = 1_000_000, 32 << 20
 
 
 def depth(t: T.DataType) -> int:
@@ -167,7 +169,7 @@ class Warehouse:
         for batch_id in self.staged(table):
             path = self._staged_path(table, batch_id)
             if batch_id not in known:
-                self._commit(table, self._read([path], table.stored), batch_id, [])
+                self._commit(table, [path], batch_id, [])
                 done += 1
             self._delete(path)
         return done
@@ -185,12 +187,20 @@ class Warehouse:
         self.publish(table)
         return batch_id
 
-    def _commit(self, table: Table, rows: DataFrame, batch_id: str, replaces: list[str]) -> None:
+    def _ranges(self, rows: DataFrame, paths: list[str]) -> int:
+        """Tasks that a commit of these stored rows needs: their number follows the rows, not the time partitions."""
+        size = sum(fs.getContentSummary(p).getLength() for fs, p in map(self._path, paths))
+        return max(1, -(-rows.count() // RANGE_ROWS), -(-size // RANGE_BYTES))
+
+    def _commit(self, table: Table, paths: list[str], batch_id: str, replaces: list[str]) -> None:
+        """The rows of stored batches as one published batch, in ranges of time partition and sort keys."""
         lay = table.layout
         path = f"{self._dir(table)}/data/batch={quote(batch_id, safe='')}"
+        rows = self._read(paths, table.stored)
         out = rows.withColumn("_part", lay.partition())
         if lay.sort_keys:
-            out = out.repartition("_part").sortWithinPartitions("_part", *lay.sort_keys)
+            # the row's place divides rows of equal keys too
+            out = out.repartitionByRange(self._ranges(rows, paths), "_part", *lay.sort_keys, F.monotonically_increasing_id()).sortWithinPartitions("_part", *lay.sort_keys)
         writer = out.write.mode("overwrite").partitionBy("_part")
         for c in lay.bloom_columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
@@ -260,7 +270,7 @@ class Warehouse:
         for group in groups:
             new = f"compact-{uuid.uuid4().hex}"
             replaced = group | {b for i in group for b in batches[i]["replaces"] or []}
-            self._commit(table, self._read([batches[i]["path"] for i in sorted(group)], table.stored), new, sorted(replaced))
+            self._commit(table, [batches[i]["path"] for i in sorted(group)], new, sorted(replaced))
             made.append(new)
         return made
 

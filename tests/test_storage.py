@@ -88,6 +88,32 @@ def test_compaction_expiry_and_inventory(spark, store):
         w.compact(t, kind="odd")
 
 
+def _files(w, t):
+    """Per published data file: (time, id) of its rows as they stand there."""
+    import pyarrow.parquet as pq
+
+    found = [f.removeprefix("file://") for r in w.manifest(t) for f in w._read([r["path"]], t.stored).inputFiles()]
+    return [[(x["at"], x["id"]) for x in pq.ParquetFile(f).read(["at", "id"]).to_pylist()] for f in found]
+
+
+def test_a_commit_of_one_partition_is_divided(spark, store, monkeypatch):
+    w, t = store
+    monkeypatch.setattr(warehouse, "RANGE_ROWS", 100)
+    for k in range(2):
+        # one hour, and half of the rows at one instant
+        w.write(t, spark.range(500 * k, 500 * k + 500, 1, 3).select("id", F.expr("timestamp'2026-01-01 01:00:00' + make_dt_interval(0, 0, 0, if(id % 2 = 0, 0, id))").alias("at"), F.col("id").cast("double").alias("v")), f"b{k}")
+    w.compact(t, kind="full")
+    files = _files(w, t)
+    assert len(files) == w.manifest(t)[0]["files"] - 1 == 10 and max(map(len, files)) <= 200
+    assert sorted(i for f in files for _, i in f) == list(range(1000)) and all([a for a, _ in f] == sorted(a for a, _ in f) for f in files)
+    spans = sorted((f[0][0], f[-1][0]) for f in files)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    monkeypatch.setattr(warehouse, "RANGE_ROWS", 10**6)
+    monkeypatch.setattr(warehouse, "RANGE_BYTES", w.manifest(t)[0]["bytes"] // 3 + 1)
+    w.compact(t, kind="full")
+    assert len(_files(w, t)) == 3 and sorted(r.id for r in w.scan(t).select("id").collect()) == list(range(1000))
+
+
 def test_outcomes(spark, store, monkeypatch):
     w, t = store
     w.write(t, rows(spark, range(3)))
