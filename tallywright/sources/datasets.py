@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallywright.session import checkpointed, load, scratch
 from tallywright.sources import office
 
+#: Bytes of rows after which a task begins another Arrow or NumPy file.
+FILE_BYTES = 32 << 20
+#: How such a file ends: Arrow's mark; the comment of an archive; a byte after the array, which readers leave alone.
+ENDS = {"arrow": "ARROW1", "npz": "\n", "npy": "\n"}
 CODECS = {"none": "uncompressed", "snappy": "snappy", "gzip": "gzip", "zstd": "zstd", "lz4": "lz4"}
 
 
@@ -27,8 +30,8 @@ def save(df: DataFrame, path: str, interface: str, compression: str = "none", ro
     """parquet, jsonl, csv, text, and Arrow IPC or NumPy files; ``rows_per_file`` bounds the rows of each file.
 
     Arrow files (``arrow``) and arrays (``npy``, one numeric column, or ``npz``,
-    an array for each) are written by the tasks, a file for each partition, and
-    moved into place, so a retry replaces them.
+    an array for each) are written by the tasks through Spark's committer,
+    files of about ``FILE_BYTES``; the driver only gives them their names.
     """
     if interface in ("arrow", "npy", "npz"):
         _save_parts(df, path, interface)
@@ -50,37 +53,58 @@ def save(df: DataFrame, path: str, interface: str, compression: str = "none", ro
         raise ValueError(f"unknown interface {interface!r}")
 
 
+def _file(batches: list[pa.RecordBatch], names: list[str], interface: str) -> bytes:
+    """The bytes of one file but for its last ones, which are ``ENDS[interface]``."""
+    out = io.BytesIO()
+    if interface == "arrow":
+        with pa.ipc.new_file(out, batches[0].schema) as sink:
+            for b in batches:
+                sink.write_batch(b)
+        return out.getvalue().removesuffix(ENDS["arrow"].encode())
+    arrays = {c: pa.chunked_array([b.column(i) for b in batches]).to_numpy() for i, c in enumerate(names)}
+    if interface == "npy":
+        np.save(out, arrays[names[0]])
+        return out.getvalue()
+    np.savez(out, **arrays)
+    # the archive ends with the length of its comment: one character, the end that follows
+    return out.getvalue()[:-2] + b"\x01\x00"
+
+
 def _save_parts(df: DataFrame, path: str, interface: str) -> None:
     names = df.columns
     if interface == "npy" and len(names) != 1:
         raise ValueError("npy holds one column")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        out = io.BytesIO()
-        if interface == "arrow":
-            with pa.ipc.new_file(out, got[0].schema) as sink:
-                for b in got:
-                    sink.write_batch(b)
-        else:
-            arrays = {c: pa.chunked_array([b.column(i) for b in got]).to_numpy() for i, c in enumerate(names)}
-            np.save(out, arrays[names[0]]) if interface == "npy" else np.savez(out, **arrays)
-        name = f"part-{TaskContext.get().partitionId():05d}.{interface}"
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.getvalue()], pa.binary())], ["name", "content"])
-
+        held, size = [], 0
+        for b in batches:
+            if held and size + b.nbytes > FILE_BYTES:
+                yield whole(held)
+                held, size = [], 0
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+        if held:
+            yield whole(held)
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([_file(held, names, interface)], pa.binary())], ["content"])
+
+    # Spark's text writer passes bytes on as they are, in any of its file systems: a row is a file, the line end its last bytes
+    files = df.mapInArrow(write, "content binary").select(F.col("content").cast("string").alias("value"))
+    files.write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", ENDS[interface]).option("compression", "none").text(path)
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    fs.delete(folder, True)
-    fs.mkdirs(folder)
-    # one part at a time passes through the driver
-    for r in df.mapInArrow(write, "name string, content binary").toLocalIterator():
-        sink = fs.create(jvm.org.apache.hadoop.fs.Path(folder, r["name"]), True)
-        sink.write(bytearray(r["content"]))
-        sink.close()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            if f.getLen():
+                to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{name.removesuffix('.txt')}.{interface}")
+                if not fs.rename(f.getPath(), to):
+                    raise OSError(f"cannot rename {name} in {path}")
+            else:
+                fs.delete(f.getPath(), False)
 
 
 def _open_parts(spark: SparkSession, path: str, interface: str, schema) -> DataFrame:

@@ -322,6 +322,44 @@ def test_array_files(spark, tmp_path):
     assert datasets.stats(twice).first()["digest"] != datasets.stats(df.limit(0)).first()["digest"] != datasets.stats(df).first()["digest"]
 
 
+def test_array_files_are_written_by_the_tasks(spark, tmp_path, monkeypatch):
+    import io
+    import zipfile
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(datasets, "FILE_BYTES", 100_000)
+    df = spark.range(0, 60_000, 1, 2).select("id", (F.col("id") / 4).alias("x"))
+    listed = spark.sparkContext.statusTracker()
+    for kind in ("arrow", "npz", "npy"):
+        src = df if kind != "npy" else df.select("id")
+        for _ in range(2):
+            spark.sparkContext.setJobGroup(f"save {kind}", "")
+            datasets.save(src, str(tmp_path / kind), kind)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        # one job a call, none for each partition that the driver fetches
+        assert len(listed.getJobIdsForGroup(f"save {kind}")) == 2
+        files = sorted((tmp_path / kind).glob("[!._]*"))
+        assert len(files) > 2 and all(f.suffix == f".{kind}" and f.stat().st_size < 200_000 for f in files)
+        ids = []
+        for f in files:
+            data = f.read_bytes()
+            if kind == "arrow":
+                ids += pa.ipc.open_file(pa.BufferReader(data)).read_all()["id"].to_pylist()
+            elif kind == "npz":
+                assert zipfile.ZipFile(io.BytesIO(data)).testzip() is None
+                with np.load(f) as got:
+                    assert (got["x"] * 4 == got["id"]).all()
+                    ids += got["id"].tolist()
+            else:
+                ids += np.load(f, mmap_mode="r").tolist()
+        assert sorted(ids) == list(range(60_000))
+        assert datasets.stats(datasets.open_dataset(spark, str(tmp_path / kind), kind, src.schema)).first() == datasets.stats(src).first()
+        datasets.save(src.where("id < 0"), str(tmp_path / kind), kind)
+        assert not list((tmp_path / kind).glob("[!._]*")) and datasets.open_dataset(spark, str(tmp_path / kind), kind, src.schema).count() == 0
+
+
 def test_streams(spark, store, tmp_path):
     w, t = store
     src = tmp_path / "in"
