@@ -114,6 +114,18 @@ def test_a_commit_of_one_partition_is_divided(spark, store, monkeypatch):
     assert len(_files(w, t)) == 3 and sorted(r.id for r in w.scan(t).select("id").collect()) == list(range(1000))
 
 
+DATA = "/root/testdata/sf0.001"
+
+
+def test_a_window_over_a_divided_month(spark, monkeypatch):
+    monkeypatch.setattr(warehouse, "RANGE_ROWS", 50)
+    got = warehouse.warehouse_window(spark, DATA)
+    want = spark.read.parquet(f"{DATA}/events.parquet").where("ts >= timestamp'2024-01-03' and ts < timestamp'2024-01-09'").select("event_id", "ts")
+    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
+    counts = [r["count"] for r in spark.read.parquet(*got.inputFiles()).groupBy(F.input_file_name()).count().collect()]
+    assert len(counts) >= 4 and max(counts) <= 100
+
+
 def test_outcomes(spark, store, monkeypatch):
     w, t = store
     w.write(t, rows(spark, range(3)))
