@@ -126,6 +126,15 @@ def test_a_window_over_a_divided_month(spark, monkeypatch):
     assert len(counts) >= 4 and max(counts) <= 100
 
 
+def test_a_live_union_over_divided_batches(spark, monkeypatch):
+    monkeypatch.setattr(warehouse, "RANGE_ROWS", 50)
+    got = warehouse.warehouse_live_union(spark, DATA)
+    want = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id", "value")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    # one compacted batch of half of the rows, two staged ones
+    assert len([f for f in got.inputFiles() if "/data/batch=compact-" in f]) >= want.count() // 2 // 50
+
+
 def test_outcomes(spark, store, monkeypatch):
     w, t = store
     w.write(t, rows(spark, range(3)))
